@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import split, tokens
+from . import boilerplate, leakage, scans, split, stuffing, tokens
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -27,7 +27,47 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(_table(spark, d, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids}
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Furniture lines, cut words and misread words of scanned pages."""
+    return scans.found(_table(spark, d, "parsed_documents").select("raw_path", "markdown", "chunks", "metadata"))
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The text of each PDF document as continuous paragraphs."""
+    return scans.repaired(_table(spark, d, "parsed_documents").select("raw_path", "markdown", "chunks", "metadata"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of web pages that are not part of the article."""
+    return boilerplate.found(_table(spark, d, "parsed_documents").select("raw_path", "markdown", "metadata"))
+
+
+def p5_articles(spark: SparkSession, d: str) -> DataFrame:
+    """The article of each web page."""
+    return boilerplate.main_text(_table(spark, d, "parsed_documents").select("raw_path", "markdown", "metadata"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with twelve words of an evaluation item in sequence."""
+    return leakage.found(_table(spark, d, "documents").select("doc_id", "text"), _table(spark, d, "benchmark"))
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a passage of an evaluation item with at most one edit."""
+    return leakage.leaks(_table(spark, d, "documents").select("doc_id", "text"), _table(spark, d, "benchmark"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword-stuffed pages and lists of links."""
+    return stuffing.found(_table(spark, d, "documents").select("doc_id", "text"))
+
+
+def p9_pages(spark: SparkSession, d: str) -> DataFrame:
+    """What the words of every document belong to."""
+    return stuffing.pages(_table(spark, d, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p5_found": p5_found, "p5_articles": p5_articles, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_pages": p9_pages, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids}
 
 ORACLE = {
     "p4_found": """
