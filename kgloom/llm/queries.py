@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boilerplate, leakage, scans, split, stuffing, tokens
+from . import boilerplate, leakage, neardup, scans, split, stuffing, tokens
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -47,6 +47,16 @@ def p5_articles(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.main_text(_table(spark, d, "parsed_documents").select("raw_path", "markdown", "metadata"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of pages whose bodies are nearly the same."""
+    return neardup.pairs(_table(spark, d, "pages").select("id", "body"), "id", "body", size=3, threshold=0.7, least_words=20)
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of pages with nearly the same body, on shingles of five words."""
+    return neardup.groups(_table(spark, d, "pages").select("id", "body"), "id", "body")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with twelve words of an evaluation item in sequence."""
     return leakage.found(_table(spark, d, "documents").select("doc_id", "text"), _table(spark, d, "benchmark"))
@@ -67,9 +77,15 @@ def p9_pages(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.pages(_table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p5_found": p5_found, "p5_articles": p5_articles, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_pages": p9_pages, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_articles": p5_articles, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_pages": p9_pages, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids}
 
 ORACLE = {
+    "p3_found": r"""
+WITH page AS (SELECT id, any_value(body) AS body FROM pages GROUP BY id),
+word AS (SELECT id, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') AS w FROM page WHERE body IS NOT NULL),
+gram AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM word WHERE len(w) >= 20),
+pair AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.g, b.g)) AS c, len(a.g) + len(b.g) AS n FROM gram a JOIN gram b ON a.id < b.id AND len(a.g) >= 0.7 * len(b.g) AND len(b.g) >= 0.7 * len(a.g))
+SELECT id_a, id_b FROM pair WHERE c >= 0.7 * (n - c)""",
     "p4_found": """
 WITH docs AS (SELECT raw_path, any_value(markdown) AS markdown, any_value(chunks) AS chunks FROM parsed_documents GROUP BY raw_path),
 item AS (SELECT raw_path, CAST(i AS BIGINT) AS chunk_no, chunks[i].markdown AS text FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM docs WHERE len(chunks) > 0)
