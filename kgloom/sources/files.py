@@ -17,7 +17,7 @@ def wiki_pages(spark: SparkSession, root: str) -> DataFrame:
     ``extra``.  A file without frontmatter is a page with a body only and ``has_frontmatter`` false.
     """
     raw = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(root)
+        spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(root, wholetext=True)
         .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
         .where(~F.col("path").rlike(r"/(?:index|log)\.md$"))
     )
@@ -53,7 +53,7 @@ def record_table(spark: SparkSession, path: str) -> DataFrame:
 
 def text_document(spark: SparkSession, path: str) -> DataFrame:
     """Text, markdown and CSV files as parsed documents of one chunk, of type ``table`` for CSV; an empty file has no chunks."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("raw_path"), F.col("value").alias("markdown"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("raw_path"), F.col("value").alias("markdown"))
     kind = F.when(F.col("raw_path").endswith(".csv"), "table").otherwise("text")
     chunk = F.array(F.struct(F.lit("liteparse-0").alias("id"), kind.alias("type"), F.col("markdown").alias("markdown")))
     return raw.select("raw_path", F.lit("liteparse").alias("provider"), "markdown", F.when(F.trim("markdown") == "", F.array().cast("array<struct<id:string,type:string,markdown:string>>")).otherwise(chunk).alias("chunks"))
