@@ -46,7 +46,7 @@ def release(df: DataFrame | None) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = 8 << 20):
+def broadcast_if_small(df: DataFrame, max_bytes: int = 2 << 20):
     """``df`` with a broadcast hint if Catalyst's size estimate proves it under ``max_bytes``; as it is otherwise.
 
     The estimate of a table just written by :func:`cut` is its size on disk, so it grows with the data and the plan

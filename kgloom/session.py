@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
 
 def local_session(cores: int | None = None, app: str = "kgloom") -> SparkSession:
     """A local session with adaptive execution, UTC and few shuffle partitions."""
@@ -20,3 +25,17 @@ def local_session(cores: int | None = None, app: str = "kgloom") -> SparkSession
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of a session, once: they need not find it on a path of their own."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="kgloom-")) / "kgloom.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))  # served to all executors by the driver
+    _shipped.add(sc.applicationId)
