@@ -12,9 +12,14 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def lower_ascii(text: Column | str) -> Column:
+    """A to Z in lower case; other letters stay, so that no other letter becomes an ASCII one."""
+    return F.translate(_col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def tokens(text: Column | str) -> Column:
     """Words of at least two ASCII letters, digits or ``_`` that begin with a letter, in lower case; null text has none."""
-    return F.transform(F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(f"({TOKEN})"), F.lit(1)), lambda x: F.lower(x))
+    return F.regexp_extract_all(lower_ascii(F.coalesce(_col(text), F.lit(""))), F.lit("([a-z][a-z0-9_]+)"), F.lit(1))
 
 
 def spans(text: Column | str, pattern: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import json_list, spans
+from ..plans.materialize import spread
 from .orphans import canonical_id
 
 PERCENT = r"\b\d{1,3}(?:\.\d+)?\s*%"
@@ -56,7 +57,7 @@ def claims(pages: DataFrame, key: str = "id", body: str = "body") -> DataFrame:
         F.struct(F.lit("USD_B").alias("unit"), spans(body, BILLION).alias("found")),
         F.struct(F.lit("USD_M").alias("unit"), spans(body, MILLION).alias("found")),
     )
-    rows = pages.where(F.col(body).rlike("[%$]")).dropDuplicates([key]).select(key, F.col(body).alias("_b"), F.explode(every).alias("g")).select(key, "_b", "g.unit", F.explode("g.found").alias("m"))
+    rows = spread(pages.select(key, body)).where(F.col(body).rlike("[%$]")).dropDuplicates([key]).select(key, F.col(body).alias("_b"), F.explode(every).alias("g")).select(key, "_b", "g.unit", F.explode("g.found").alias("m"))
     low = F.greatest(F.col("m.start") - 80, F.lit(0))
     context = F.lower(F.substring("_b", low + 1, F.col("m.start") + F.length("m.match") + 40 - low))
     rows = rows.select(key, "unit", F.col("m.start").alias("start"), F.regexp_extract("m.match", NUMBER, 0).cast("double").alias("value"), context.alias("context"))

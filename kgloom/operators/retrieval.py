@@ -1,7 +1,8 @@
 """Ranked retrieval: Okapi BM25, fielded full-text rank, seeds, expansion and answer contexts.
 
-A query has a handful of terms, so a document's term frequencies are counted in place from its token array: one narrow scan for
-the corpus statistics (a single-row aggregate), one for the scores, and a top-k; nothing is exploded or shuffled by term.
+A query has a handful of terms, so a document's term frequencies are counted in place from its token array: one scan
+leaves a small table of lengths and hits, from which the corpus statistics (a single-row aggregate), the scores and a top-k are
+taken; nothing is exploded or shuffled by term.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN, json_list, tokens
+from ..functions.text import TOKEN, json_list, lower_ascii, tokens
+from ..plans.materialize import cut, spread
 from .orphans import canonical_id
 
 K1, B = 1.5, 0.75
@@ -28,10 +30,15 @@ def query_terms(question: str) -> Counter[str]:
 
 
 def _tf(terms: list[str]) -> list[Column]:
-    count = lambda w: F.size(F.filter("tokens", lambda t: t == w))
+    count = lambda w: F.size(F.filter("hits", lambda t: t == w))
     return [count(w).alias(f"tf{i}") for i, w in enumerate(terms)]
 
 
+def _hits(words: list[str]) -> list[Column]:
+    """Length of a document and its tokens that are query terms; only these few leave the scan."""
+    return [F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(words)).alias("hits")]
+
+
 def bm25(docs: DataFrame, key: str, text: str, question: str, top_k: int | None = 5) -> DataFrame:
     """``key, score``: the ``top_k`` documents with a positive score, ties by key; all of them with None.
 
@@ -40,7 +47,8 @@ def bm25(docs: DataFrame, key: str, text: str, question: str, top_k: int | None
     """
     terms = query_terms(question)
     words = list(terms)
-    own = docs.select(F.col(key), tokens(text).alias("tokens")).dropDuplicates([key]).select(key, F.size("tokens").alias("dl"), *_tf(words))
+    small = spread(docs.select(key, text)).select(F.col(key), tokens(text).alias("tokens")).select(key, *_hits(words)).dropDuplicates([key])
+    own = cut(small, "bm25").select(key, "dl", *_tf(words))
     stats = own.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]).first()
     if not words or not stats["n"] or not stats["avg"]:
         return own.select(key, F.lit(0.0).alias("score")).where("false")
@@ -75,11 +83,11 @@ def fts_rank(rows: DataFrame, query: str, *, types: list[str] | None = None, tag
     whatever their case.  The score floors the inverse document frequency at 1e-6.  ``stem`` maps an array of tokens.
     """
     words = sorted({t.lower() for t in re.findall(r"[A-Za-z0-9]+", query)})
-    found = F.transform(F.regexp_extract_all(F.concat_ws(" ", "kind", "row_id", "type", "source_id", "path", "title", "tags", "content"), F.lit(r"([A-Za-z0-9]+)"), F.lit(1)), lambda x: F.lower(x))
+    found = F.regexp_extract_all(lower_ascii(F.concat_ws(" ", "kind", "row_id", "type", "source_id", "path", "title", "tags", "content")), F.lit("([a-z0-9]+)"), F.lit(1))
     if stem is not None:
         words, found = sorted({stem.word(w) for w in words}), stem(found)
-    own = rows.withColumn("tokens", found)
-    own = own.select("row_id", "kind", "type", "source_id", "tags", F.size("tokens").alias("dl"), *_tf(words))
+    small = rows.withColumn("tokens", found).select("row_id", "kind", "type", "source_id", "tags", *_hits(words))
+    own = cut(small, "fts").select("row_id", "kind", "type", "source_id", "tags", "dl", *_tf(words))
     stats = own.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]).first()
     if not words or not stats["n"] or not stats["avg"]:
         return own.select("row_id", "kind", F.lit(0.0).alias("rank")).where("false")
@@ -200,7 +208,7 @@ def seeds(hits: DataFrame, sources: DataFrame, top_k: int) -> DataFrame:
 def contexts(pages: DataFrame, edges: DataFrame, seed: DataFrame, snippet: int = 240, most: int = 8) -> DataFrame:
     """``id, is_seed, score, snippet``: the seeds and the pages they link to, seeds first, then by score and id."""
     key = canonical_id(F.col("id"))
-    s = seed.select(key.alias("key"), "score")
+    s = cut(seed, "seeds").select(key.alias("key"), "score")
     linked = edges.join(F.broadcast(s.select(F.col("key").alias("src"), "score")), "src").select(F.col("dst").alias("key"), F.lit(False).alias("is_seed"), "score")
     every = s.select("key", F.lit(True).alias("is_seed"), "score").unionByName(linked).groupBy("key").agg(F.max("is_seed").alias("is_seed"), F.max("score").alias("score"))
     return (

@@ -56,3 +56,10 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = 2 << 20):
 
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= max_bytes else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores: a table of fewer row groups than that is dealt out evenly before
+    work that costs more than the deal.  Where the scan has partitions enough, nothing is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
