@@ -8,6 +8,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from ..plans.materialize import spread
+
 
 def slices(batch: pa.RecordBatch, column: str, max_chars: int) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of ``batch`` whose ``column`` holds about ``max_chars`` bytes; a longer text is a slice of its own."""
@@ -37,4 +39,4 @@ def map_arrow(df: DataFrame, schema: str, column: str, work: Callable[[pa.Record
                 out = work(part)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in target], schema=target)
 
-    return df.mapInArrow(run, kind)
+    return spread(df).mapInArrow(run, kind)
