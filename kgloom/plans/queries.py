@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import claims as C
 from ..operators import decisions as D
 from ..operators import graph as G
+from ..operators import memo as M
 from ..operators import ontology, quality, records, retrieval, web
 from ..operators.orphans import canonical_id
 from ..sources import sinks
@@ -321,11 +322,18 @@ def trace_kinds(s, d):
     return own.groupBy("provider", "type").agg(F.count_distinct("raw_path").alias("documents"), F.max("chars").alias("longest"))
 
 
+def memo_summary(s, d):
+    """Memo of the first customer, two hops."""
+    pages = t(s, d, "pages")
+    seed = G.nodes(pages.where("type = 'Customer'")).agg(F.min("key").alias("key"))
+    return M.summary(M.build(pages, t(s, d, "links"), t(s, d, "sources"), seed))
+
+
 _NAMES = """bm25_topk bm25_repeated_terms bm25_pages fts_rank_filtered fts_tagged fts_porter_rank seed_resolution answer_contexts graph_nodes graph_edges ontology_conformance
 edges_resolved bfs_hops expand_outgoing typed_pattern coverage_by_type provenance_chain freshness_warnings numeric_claims contradictions metric_rollup numeric_completeness
 lint_report source_inventory kind_counts duplicate_ids merge_winners rewritten_links merged_sources record_entities record_links record_content_hash table_fingerprint slugs url_slugs
 html_text html_links crawl_frontier heading_sections paragraph_chunks titles_summaries first_sentences wikilinks catalog decisions_from_audit precedent_search precedent_for
-replay_live_pages replay_prior_decisions review_queue_dedup review_queue_stream events_windowed graph_export_nodes snapshot_roundtrip source_references trace_kinds""".split()
+replay_live_pages replay_prior_decisions review_queue_dedup review_queue_stream events_windowed graph_export_nodes snapshot_roundtrip source_references trace_kinds memo_summary""".split()
 
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -536,6 +544,13 @@ SELECT bucket, count(*) FILTER (WHERE coalesce(seen <= TIMESTAMPTZ '{CUTOFF}+00'
     "events_windowed": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL",
     "graph_export_nodes": "WITH " + _GRAPH + " SELECT key, '<node id=\"' || key || '\"><data key=\"type\">' || coalesce(type, '') || '</data></node>' AS xml, CAST(greatest(8, len(sources) * 2 + 8) AS INTEGER) AS value FROM node",
     "snapshot_roundtrip": "WITH " + _GRAPH + " SELECT 'node' AS kind, type, count(*) AS records FROM node GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM edge GROUP BY type",
+    "memo_summary": "WITH " + _GRAPH + _BOTH.replace("SELECT min(key) AS key FROM node GROUP BY type", "SELECT min(key) AS key FROM node WHERE type = 'Customer'") + ", " + _claims_sql(f"{_C.format('id')} IN (SELECT key FROM bfs)") + f""",
+ss AS (SELECT {_C.format("id")} AS skey, max(substr(updated, 1, 10)) AS source_updated FROM sources WHERE {_ISO.format("updated")} IS NOT NULL GROUP BY 1),
+pc AS (SELECT key, substr(updated, 1, 10) AS updated, unnest(list_distinct(sources)) AS source FROM node WHERE {_ISO.format("updated")} IS NOT NULL AND key IN (SELECT key FROM bfs)),
+st AS (SELECT count(DISTINCT key) AS stale FROM pc JOIN ss ON skey = {_C.format("source")} WHERE updated < source_updated),
+cg AS (SELECT kind, period, segment FROM claim JOIN page USING (id) WHERE page.type IN ('Concept', 'Customer') AND (kind NOT IN ('percent', 'usd_billion', 'usd_million') OR (segment <> 'company_wide' AND period <> 'unspecified')) GROUP BY ALL HAVING count(DISTINCT (value, unit)) > 1)
+SELECT (SELECT count(*) FROM bfs) AS touched, (SELECT count(*) FROM (VALUES {", ".join(f"('{x}')" for x in ontology.OBJECT_TYPES)}) o(type) WHERE type NOT IN (SELECT type FROM node JOIN bfs USING (key))) AS gaps, (SELECT stale FROM st) AS stale,
+  (SELECT count(*) FROM cg) AS contradictions, (SELECT min(value) FROM claim WHERE kind = 'revenue') AS min_revenue_usd_b, (SELECT max(value) FROM claim WHERE kind = 'revenue') AS max_revenue_usd_b""",
     "source_references": f"WITH {_PAGE}, r AS (SELECT id, unnest(list_distinct({_JSON.format('source_ids')})) AS source FROM page) SELECT {_C.format('source')} AS key, count(*) AS citations FROM r GROUP BY 1",
     "trace_kinds": "WITH c AS (SELECT raw_path, coalesce(provider, 'none') AS provider, unnest(chunks) AS c FROM parsed_documents) SELECT provider, c.type AS type, count(DISTINCT raw_path) AS documents, max(CAST(length(c.markdown) AS INTEGER)) AS longest FROM c GROUP BY ALL",
 }
