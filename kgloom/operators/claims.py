@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import json_list, spans
-from ..plans.materialize import spread
+from ..plans.materialize import broadcast_if_small, spread
 from .orphans import canonical_id
 
 PERCENT = r"\b\d{1,3}(?:\.\d+)?\s*%"
@@ -89,12 +89,10 @@ def rollup(claim: DataFrame) -> DataFrame:
 
 
 def percentages(parsed: DataFrame) -> DataFrame:
-    """``raw_path, line_no, raw``: percentages of each line of the parsed documents, at most 200 a document in order."""
+    """``raw_path, line_no, raw, ix``: percentages of each line of the parsed documents, at most 200 a document in order."""
     lines = parsed.where("markdown is not null").dropDuplicates(["raw_path"]).select("raw_path", F.posexplode(F.split("markdown", "\n")).alias("n", "line")).where(F.col("line").contains("%"))
     every = lines.select("raw_path", F.col("n").alias("line_no"), F.posexplode(F.regexp_extract_all("line", F.lit(r"(?<![A-Za-z0-9])(\d{1,3}(?:\.\d+)?)[ \t]*%"), F.lit(1))).alias("p", "raw"))
-    from pyspark.sql import Window
-
-    return every.withColumn("ix", F.row_number().over(Window.partitionBy("raw_path").orderBy("line_no", "p"))).where("ix <= 200").select("raw_path", (F.col("line_no") + 1).alias("line_no"), "raw")
+    return every.withColumn("ix", F.row_number().over(Window.partitionBy("raw_path").orderBy("line_no", "p"))).where("ix <= 200").select("raw_path", (F.col("line_no") + 1).alias("line_no"), "raw", "ix")
 
 
 def completeness(parsed: DataFrame, sources: DataFrame, pages: DataFrame) -> DataFrame:
@@ -104,8 +102,6 @@ def completeness(parsed: DataFrame, sources: DataFrame, pages: DataFrame) -> Dat
     Sources and pages meet by canonical source id; the numbers are looked up among the numbers of the citing pages, so no text
     is searched per number.  Sources that no page cites are left out.
     """
-    from ..plans.materialize import broadcast_if_small
-
     src = sources.where("raw_path <> ''").select(canonical_id(F.col("id")).alias("skey"), "raw_path").distinct()
     cite = pages.dropDuplicates(["id"]).select(F.explode(F.array_distinct(F.transform(json_list("source_ids"), canonical_id))).alias("skey"), F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)).alias("held"))
     cited = cite.join(broadcast_if_small(src), "skey")
@@ -114,6 +110,6 @@ def completeness(parsed: DataFrame, sources: DataFrame, pages: DataFrame) -> Dat
     value = F.col("raw").cast("decimal(20,6)")
     text = lambda d: F.bround(value, d).cast(f"decimal(20,{d})").cast("string")
     forms = F.array_distinct(F.filter(F.array("raw", text(1), text(2), F.when(value == F.floor(value), F.floor(value).cast("string"))), lambda x: x.isNotNull() & (F.length(x) >= 3)))
-    asked = wanted.withColumn("no", F.monotonically_increasing_id()).select("raw_path", "no", forms.alias("forms")).where(F.size("forms") > 0)
-    hit = asked.select("raw_path", "no", F.explode("forms").alias("form")).join(held.withColumn("there", F.lit(True)), ["raw_path", "form"], "left").groupBy("raw_path", "no").agg(F.max("there").alias("there"))
+    asked = wanted.select("raw_path", "ix", forms.alias("forms")).where(F.size("forms") > 0)
+    hit = asked.select("raw_path", "ix", F.explode("forms").alias("form")).join(held.withColumn("there", F.lit(True)), ["raw_path", "form"], "left").groupBy("raw_path", "ix").agg(F.max("there").alias("there"))
     return hit.groupBy("raw_path").agg(F.count("*").alias("numerics"), F.count_if(F.col("there").isNull()).alias("missing")).where("missing > 0")
