@@ -119,7 +119,7 @@ def frontier(pages: DataFrame, seeds: DataFrame, depth: int, budget: int | None
     step = rows.where("parent is not null").select(F.col("parent").alias("src"), F.col("key").alias("dst")).distinct()
     start = seeds.select(normal_url(F.col("url")).alias("key")).distinct()
     hosts = own.join(start, "key", "left_semi").select("host").distinct()
-    same = own.join(F.broadcast(hosts), "host", "left_semi")
+    same = own.join(broadcast_if_small(cut(hosts, "hosts")), "host", "left_semi")
     seen = traverse(step, same, start, depth, both=False)
     out = seen.join(same, "key").select("key", "host", "hop")
     return out if budget is None else out.orderBy("hop", "key").limit(budget)

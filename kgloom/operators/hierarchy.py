@@ -217,7 +217,10 @@ def hierarchy(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def paths(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """``id, path``: the urls from the root to each node, concatenated from the slices of its chains."""
+    """``id, path``: the urls from the root to each node, concatenated from the slices of its chains.
+
+    A chain's urls are one array, as long as the chain; no longer than the longest path that comes out.
+    """
     urls = members.select("id", "head", "pos").join(nodes.select("id", "url"), "id")
     arrays = urls.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "url"))), lambda x: x["url"]).alias("urls"))
     arrays = cut(arrays, "arrays")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, json_list, lower_ascii, tokens
-from ..plans.materialize import cut, spread
+from ..plans.materialize import broadcast_if_small, cut, spread
 from .orphans import canonical_id
 
 K1, B = 1.5, 0.75
@@ -209,7 +209,7 @@ def contexts(pages: DataFrame, edges: DataFrame, seed: DataFrame, snippet: int =
     """``id, is_seed, score, snippet``: the seeds and the pages they link to, seeds first, then by score and id."""
     key = canonical_id(F.col("id"))
     s = cut(seed, "seeds").select(key.alias("key"), "score")
-    linked = edges.join(F.broadcast(s.select(F.col("key").alias("src"), "score")), "src").select(F.col("dst").alias("key"), F.lit(False).alias("is_seed"), "score")
+    linked = edges.join(broadcast_if_small(s.select(F.col("key").alias("src"), "score")), "src").select(F.col("dst").alias("key"), F.lit(False).alias("is_seed"), "score")
     every = s.select("key", F.lit(True).alias("is_seed"), "score").unionByName(linked).groupBy("key").agg(F.max("is_seed").alias("is_seed"), F.max("score").alias("score"))
     return (
         pages.dropDuplicates(["id"])
