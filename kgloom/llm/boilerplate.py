@@ -72,7 +72,8 @@ def _menu_row(text: str) -> bool:
 
 
 def kinds(lines: list[str], recurring: set[int], title: str | None) -> list[str]:
-    """For each line: blank, prose, mark (heading, list item, table, caption), short, teaser, related or noise."""
+    """For each line: blank, prose, mark (heading, list item, table, caption), short, teaser, related, menu (a short line that
+    recurs on the host) or noise."""
     out = []
     for no, line in enumerate(lines, 1):
         raw = line.strip()
@@ -106,7 +107,7 @@ def kinds(lines: list[str], recurring: set[int], title: str | None) -> list[str]
         elif _HEADING.match(line) or raw.startswith("**") or raw.startswith(">"):
             out.append("mark")
         elif no in recurring and words <= 8 and "|" not in raw:
-            out.append("noise")
+            out.append("menu")
         elif raw.startswith(("- ", "+ ", "• ")) or any(c.isdigit() for c in text) or "," in text or ":" in text:
             out.append("prose" if words >= 12 else "mark")
         elif words >= 12:
@@ -129,8 +130,14 @@ def article(markdown: str | None, recurring: set[int] = frozenset(), title: str
         if kind[i] == "noise" and " | " in lines[i] and " | " in lines[i + 1] and kind[i + 1] == "mark" and lines[i].count("|") == lines[i + 1].count("|"):
             kind[i] = "mark"
 
-    # runs of three or more bare short lines are menus, wherever they stand; items with stars too
+    # a recurring line alone between lines of the body heads a part of it
     full = [i for i in range(n) if kind[i] != "blank"]
+    around = {full[k]: {kind[full[k - 1]], kind[full[k + 1]]} for k in range(1, len(full) - 1)}
+    for i in full:
+        if kind[i] == "menu":
+            kind[i] = "short" if around.get(i, {""}) <= {"prose", "mark", "title"} and not lines[i].lstrip().startswith("*") else "noise"
+
+    # runs of three or more bare short lines are menus, wherever they stand; items with stars too
     i = 0
     while i < len(full):
         j = i
