@@ -88,28 +88,53 @@ def rollup(claim: DataFrame) -> DataFrame:
     )
 
 
-def percentages(parsed: DataFrame) -> DataFrame:
-    """``raw_path, line_no, raw, ix``: percentages of each line of the parsed documents, at most 200 a document in order."""
-    lines = parsed.where("markdown is not null").dropDuplicates(["raw_path"]).select("raw_path", F.posexplode(F.split("markdown", "\n")).alias("n", "line")).where(F.col("line").contains("%"))
-    every = lines.select("raw_path", F.col("n").alias("line_no"), F.posexplode(F.regexp_extract_all("line", F.lit(r"(?<![A-Za-z0-9])(\d{1,3}(?:\.\d+)?)[ \t]*%"), F.lit(1))).alias("p", "raw"))
-    return every.withColumn("ix", F.row_number().over(Window.partitionBy("raw_path").orderBy("line_no", "p"))).where("ix <= 200").select("raw_path", (F.col("line_no") + 1).alias("line_no"), "raw", "ix")
+# The kinds of figures that the completeness of an extraction is told by; a figure may be of more than one kind.
+FIGURES = {
+    "usd_billion": r"(?i)\$\s*(\d{1,3}(?:[,.]\d{1,3})*(?:\.\d+)?)\s*(?:billion|B\b|bn\b)",
+    "usd_million": r"(?i)\$\s*(\d{1,3}(?:,\d{3})*(?:\.\d+)?)\s*(?:million|M\b|mn\b)",
+    "usd_table": r"\$\s*(\d{1,3}(?:,\d{3})+(?:\.\d+)?)",
+    "percent": r"(?<![A-Za-z0-9])(\d{1,3}(?:\.\d+)?)[ \t]*%",
+}
+
+
+def figures(parsed: DataFrame) -> DataFrame:
+    """``raw_path, kind, line_no, raw, ix``: the figures of each line of the parsed documents, at most 200 a document and kind in
+    order."""
+    lines = parsed.where("markdown is not null").dropDuplicates(["raw_path"]).select("raw_path", F.posexplode(F.split("markdown", "\n")).alias("n", "line")).where(F.col("line").rlike("[%$]"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("line", F.lit(x), F.lit(1)).alias("found")) for k, x in FIGURES.items()])
+    every = lines.select("raw_path", (F.col("n") + 1).alias("line_no"), F.explode(kinds).alias("g")).select("raw_path", "g.kind", "line_no", F.posexplode("g.found").alias("p", "raw"))
+    return every.withColumn("ix", F.row_number().over(Window.partitionBy("raw_path", "kind").orderBy("line_no", "p"))).where("ix <= 200").drop("p")
+
+
+def figure_forms(kind: Column, raw: Column) -> Column:
+    """The forms of at least three characters in which a page may hold a figure: as written and without commas; percentages with
+    one and two decimals and, if whole, without; billions in millions, cut, rounded and rounded to hundreds; millions and table
+    figures in thousands of them with three, two and one decimals.  None for what is no number."""
+    plain = F.replace(raw, F.lit(","), F.lit(""))
+    value = plain.try_cast("decimal(30,9)")
+    text = lambda x, d: F.bround(x, d).cast(f"decimal(38,{max(d, 0)})").cast("string")
+    up, down = (value * 1000).cast("decimal(38,9)"), (value / 1000).cast("decimal(38,12)")
+    scaled = (
+        F.when(kind == "percent", F.array(text(value, 1), text(value, 2), F.when(value == F.floor(value), F.floor(value).cast("string"))))
+        .when(kind == "usd_billion", F.array(F.floor(up).cast("string"), text(up, -2), text(up, 0)))
+        .otherwise(F.array(text(down, 3), text(down, 2), text(down, 1)))
+    )
+    forms = F.when(value.isNotNull(), F.array_distinct(F.filter(F.concat(F.array(raw, plain), scaled), lambda x: x.isNotNull() & (F.length(x) >= 3))))
+    return F.coalesce(forms, F.array().cast("array<string>"))
 
 
 def completeness(parsed: DataFrame, sources: DataFrame, pages: DataFrame) -> DataFrame:
-    """``raw_path, numerics, missing``: percentages of each source document that no page citing the source holds in any form: as
-    written, with one and two decimals, or as a whole number.  Forms of fewer than three characters are not searched.
+    """``raw_path, numerics, missing``: figures of each source document, dollars and percentages, that no page citing the source
+    holds in any of their forms.
 
     Sources and pages meet by canonical source id; the numbers are looked up among the numbers of the citing pages, so no text
     is searched per number.  Sources that no page cites are left out.
     """
     src = sources.where("raw_path <> ''").select(canonical_id(F.col("id")).alias("skey"), "raw_path").distinct()
-    cite = pages.dropDuplicates(["id"]).select(F.explode(F.array_distinct(F.transform(json_list("source_ids"), canonical_id))).alias("skey"), F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)).alias("held"))
+    cite = pages.dropDuplicates(["id"]).select(F.explode(F.array_distinct(F.transform(json_list("source_ids"), canonical_id))).alias("skey"), F.array_union(*[F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(x), F.lit(1)) for x in (r"(\d+(?:\.\d+)?)", r"(\d+(?:[,.]\d+)*)")]).alias("held"))
     cited = cite.join(broadcast_if_small(src), "skey")
     held = cited.select("raw_path", F.explode("held").alias("form")).distinct()
-    wanted = percentages(parsed).join(broadcast_if_small(cited.select("raw_path").distinct()), "raw_path", "left_semi")
-    value = F.col("raw").cast("decimal(20,6)")
-    text = lambda d: F.bround(value, d).cast(f"decimal(20,{d})").cast("string")
-    forms = F.array_distinct(F.filter(F.array("raw", text(1), text(2), F.when(value == F.floor(value), F.floor(value).cast("string"))), lambda x: x.isNotNull() & (F.length(x) >= 3)))
-    asked = wanted.select("raw_path", "ix", forms.alias("forms")).where(F.size("forms") > 0)
-    hit = asked.select("raw_path", "ix", F.explode("forms").alias("form")).join(held.withColumn("there", F.lit(True)), ["raw_path", "form"], "left").groupBy("raw_path", "ix").agg(F.max("there").alias("there"))
+    wanted = figures(parsed).join(broadcast_if_small(cited.select("raw_path").distinct()), "raw_path", "left_semi")
+    asked = wanted.select("raw_path", "kind", "ix", figure_forms(F.col("kind"), F.col("raw")).alias("forms")).where(F.size("forms") > 0)
+    hit = asked.select("raw_path", "kind", "ix", F.explode("forms").alias("form")).join(held.withColumn("there", F.lit(True)), ["raw_path", "form"], "left").groupBy("raw_path", "kind", "ix").agg(F.max("there").alias("there"))
     return hit.groupBy("raw_path").agg(F.count("*").alias("numerics"), F.count_if(F.col("there").isNull()).alias("missing")).where("missing > 0")
