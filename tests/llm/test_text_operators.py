@@ -200,6 +200,17 @@ def test_large_classes_are_linked_through_their_lead(spark, monkeypatch):
     assert {tuple(r) for r in neardup.pairs(df, "id", "body").collect()} == {("c0", f"c{i}") for i in range(1, 6)} | {("c0", "z")}
 
 
+def test_all_pairs_of_large_classes(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CLASS_PART", 20)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(f"c{i:02}", ("  ." * (i % 3)).join([" ".join(words[:20]), " ", " ".join(words[20:])])) for i in range(70)]
+    rows += [("z", " ".join([*words, "more"])), ("y", " ".join(["less", *words]))]
+    ids = sorted(x for x, _ in rows)
+    df = spark.createDataFrame(rows, "id string, body string")
+    got = [tuple(r) for r in neardup.pairs(df, "id", "body", size=3, threshold=0.7, least_words=20).collect()]
+    assert sorted(got) == [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]]
+
+
 def test_groups(spark):
     rows = near_case(80, 11)
     df = spark.createDataFrame(rows, "id string, body string")
