@@ -6,7 +6,9 @@
    words are summed in Spark, and their shifted positive mutual information is factorised, which is the optimum of skip-gram
    with negative sampling.  The matrix is bounded by that parameter, whatever the corpus.
 3. Each word is linked to far more frequent words whose glyphs reduce to the same strokes (m = rn = in, d = cl, u = ii, ...), and the
-   links whose edits are plausible are kept.  In each place the candidate that fits the words around it best is taken.
+   links whose edits are plausible are kept.  Every linked word and every target has a vector of its own, from the vectors of the
+   words around all its places.  In each place the target that fits best is compared with the word as it is read, whose vector
+   leaves that place out; the correction is made only if the context does not speak for the word as read.
 4. A word cut at a line's end is joined if the corpus knows the joined word better than the hyphenated one.
 
 Only words that are not among the ``KNOWN_WORDS`` most frequent clean words leave the text; they meet the links in a join.
@@ -31,6 +33,8 @@ DIMENSIONS = 32
 KNOWN_WORDS = 20_000  # clean frequent words that are not looked up; bounds the broadcast list
 RATIO = 8  # a link leads to a word at least so many times as frequent
 MAX_EDITS = 3
+PRIOR = 10  # places at which a word's own contexts weigh as much as those of the word it may stand for
+MARGIN = 0.15  # by how much the context may fit the word as read better before it is kept
 
 MARKS = "-­¬‐‑"
 _TOKEN = re.compile(r"\S+")
@@ -284,6 +288,44 @@ def vectors(pages: DataFrame, words: list[str]) -> tuple[np.ndarray, np.ndarray]
     return left[:, :k] * root, right[:k].T * root
 
 
+def places(around: list[int], outer: np.ndarray) -> np.ndarray:
+    """Vector of a place: the mean of the output vectors of the words around it, of length 1; zeros without any."""
+    x = outer[around].sum(axis=0) if len(around) else np.zeros(outer.shape[1])
+    size = np.linalg.norm(x)
+    return x / size if size else x
+
+
+def contexts(pages: DataFrame, targets: list[str], numbers: dict[str, int], outer: np.ndarray) -> dict[str, np.ndarray]:
+    """For each target the mean vector of its places over all pages."""
+    shared = pages.sparkSession.sparkContext.broadcast((frozenset(targets), numbers, outer))
+
+    def work(batch) -> dict:
+        wanted, number, vector = shared.value
+        total: dict[str, np.ndarray] = {}
+        count: Counter[str] = Counter()
+        for _, _, _, toks in _parsed(batch):
+            ids = [number.get(t[1], -1) for t in toks]
+            for p, (_, w, c) in enumerate(toks):
+                if w in wanted and not c:
+                    near = [x for x in (*ids[max(0, p - REACH) : p], *ids[p + 1 : p + 1 + REACH]) if x >= 0]
+                    if near:
+                        total[w] = total.get(w, 0) + places(near, vector)
+                        count[w] += 1
+        return {"w": list(total), "x": [v.tolist() for v in total.values()], "n": [count[w] for w in total]}
+
+    rows = map_arrow(pages, "w string, x array<double>, n bigint", "markdown", work).select("w", F.posexplode("x").alias("d", "v"), "n")
+    rows = rows.groupBy("w", "d").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).groupBy("w").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("d", "v")))["v"].alias("x"))
+    return {r.w: np.array(r.x) / r.n for r in rows.collect()}  # bounded by KNOWN_WORDS
+
+
+def favoured(place: np.ndarray, meant: np.ndarray, own: np.ndarray, n: int) -> float:
+    """How much better a place fits the word that may be meant than the word as read, in cosines from -2 to 2.  ``own`` is the sum
+    over the ``n`` places of the word as read, this one among them; it is left out, and few places weigh little."""
+    rest = own - place + PRIOR * meant
+    size = np.linalg.norm(rest) * np.linalg.norm(meant)
+    return float(place @ meant / np.linalg.norm(meant) - place @ rest / np.linalg.norm(rest)) if size else 0.0
+
+
 def findings(docs: DataFrame) -> DataFrame:
     """``raw_path, line_no, kind, w, f, cut``: furniture lines, cut words and misread words with what they mean.
 
@@ -295,7 +337,7 @@ def findings(docs: DataFrame) -> DataFrame:
     linked = cut(links(vocab), "links")
     clean = vocab.join(linked.select("w").distinct(), "w", "left_anti")
     known = [r.w for r in clean.orderBy(F.desc("n"), "w").limit(KNOWN_WORDS).where("n >= 5").collect()]  # bounded by KNOWN_WORDS
-    u, v = vectors(pages, known[:VECTOR_WORDS])
+    _, v = vectors(pages, known[:VECTOR_WORDS])
     shared = spark.sparkContext.broadcast((frozenset(known), {w: i for i, w in enumerate(known[:VECTOR_WORDS])}))
 
     def work(batch) -> dict:
@@ -331,20 +373,38 @@ def findings(docs: DataFrame) -> DataFrame:
     )
     words = asked.where("role <> 'furniture'")
 
-    numbers, left, right = shared.value[1], u, v
+    numbers = shared.value[1]
+    # without the mean, so that unlike words have cosines about 0
+    outer = v - v.mean(axis=0) if len(v) else v
+    targets = [r.f for r in linked.groupBy("f").agg(F.max("f_n").alias("n")).orderBy(F.desc("n"), "f").limit(KNOWN_WORDS).collect()]
+    meant = spark.sparkContext.broadcast((contexts(pages, targets, numbers, outer), outer))
+
+    @F.pandas_udf("array<double>")
+    def place(around: pd.Series) -> pd.Series:
+        vector = meant.value[1]
+        return pd.Series([places(list(x), vector).tolist() for x in around])
 
     @F.pandas_udf("double")
-    def fit(f: pd.Series, around: pd.Series) -> pd.Series:
-        out = []
-        for word, near in zip(f, around):
-            i = numbers.get(word)
-            out.append(float(left[i] @ right[near].mean(axis=0)) if i is not None and len(near) else 0.0)
-        return pd.Series(out)
+    def fit(f: pd.Series, x: pd.Series) -> pd.Series:
+        centre = meant.value[0]
+        return pd.Series([float(np.dot(x_, centre[w])) if w in centre and len(x_) else 0.0 for w, x_ in zip(f, x)])
+
+    @F.pandas_udf("double")
+    def gain(f: pd.Series, x: pd.Series, own: pd.Series, places_: pd.Series) -> pd.Series:
+        centre = meant.value[0]
+        return pd.Series([favoured(np.array(a), centre[w], np.array(o), n) if w in centre and o is not None and len(o) else 0.0 for w, a, o, n in zip(f, x, own, places_)])
 
     # the link that fits best: closeness of glyphs, then the context, then frequency
-    scored = words.join(broadcast_if_small(linked), "w").withColumn("score", fit("f", "around") - 2.0 * F.size("at") + 0.3 * F.log("f_n"))
-    best = scored.groupBy("raw_path", "line", "role", "w").agg(F.max_by(F.struct("f", "f_n", "at", "size", "next_line"), F.struct("score", "f")).alias("b")).select("raw_path", "line", "role", "w", "b.*")
-    best = cut(best, "best")
+    placed = cut(words.join(broadcast_if_small(linked), "w").withColumn("x", place("around")), "placed")
+    once = placed.dropDuplicates(["raw_path", "line", "role", "w"]).select("w", "x")
+    own = once.select("w", F.posexplode("x").alias("d", "v")).groupBy("w", "d").agg(F.sum("v").alias("v"), F.count("*").alias("m")).groupBy("w").agg(F.max("m").alias("m"), F.array_sort(F.collect_list(F.struct("d", "v")))["v"].alias("own"))
+    scored = placed.withColumn("score", fit("f", "x") - 2.0 * F.size("at") + 0.3 * F.log("f_n"))
+    best = scored.groupBy("raw_path", "line", "role", "w").agg(F.max_by(F.struct("f", "f_n", "at", "size", "next_line", "x"), F.struct("score", "f")).alias("b")).select("raw_path", "line", "role", "w", "b.*")
+    best = best.join(broadcast_if_small(cut(own, "own")), "w", "left").withColumn("gain", gain("f", "x", "own", "m")).withColumn("fit", fit("f", "x"))
+    # a word with a glyph that no word has is misread whatever stands around it; any other only if the word meant suits the place
+    # and the word as read suits it no better
+    foreign = F.col("w").rlike("[" + "".join(sorted(FOREIGN - set("|$!"))) + r"|$!]")
+    best = cut(best.where(foreign | ((F.col("gain") >= -MARGIN) & (F.col("fit") >= 0))).drop("x", "own", "m", "gain", "fit"), "best")
     misread = (
         best.where("role in ('word', 'joined')")
         .withColumn("p", F.explode("at"))
@@ -376,8 +436,9 @@ def _match_case(old: str, new: str) -> str:
     return new.upper() if old.isupper() and len(old) > 1 else new[:1].upper() + new[1:] if old[:1].isupper() else new
 
 
-def reflow(lines: list[str], kind: list[str], joins: dict[int, str], fixes: dict[str, str]) -> str:
+def reflow(lines: list[str], kind: list[str], joins: dict[int, str], fixes: dict[tuple[int, str], str]) -> str:
     """Text lines as paragraphs: furniture dropped, cut words joined, misread words replaced, lines of a paragraph joined by blanks.
+    ``joins`` has the whole word by the line where it begins, ``fixes`` the word meant by line and word as read.
 
     A paragraph also goes on over a gap if its last line is a full one or a page ends there, it does not end a sentence, and the
     next line begins in lower case.
@@ -385,6 +446,7 @@ def reflow(lines: list[str], kind: list[str], joins: dict[int, str], fixes: dict
     out: list[str] = []
     current = ""
     gap = glue = turned = False
+    whole: str | None = None
     width = 0
     for i, line in enumerate(lines):
         if kind[i] != "text":
@@ -395,7 +457,7 @@ def reflow(lines: list[str], kind: list[str], joins: dict[int, str], fixes: dict
         def fixed(m: re.Match) -> str:
             token = m.group(0)
             core = token.strip(_OUTER)
-            new = fixes.get(core.lower())
+            new = fixes.get((i + 1, core.lower()))
             return token.replace(core, _match_case(core, new), 1) if new else token
 
         text = _TOKEN.sub(fixed, line.strip())
@@ -404,19 +466,23 @@ def reflow(lines: list[str], kind: list[str], joins: dict[int, str], fixes: dict
             out.append(current)
             current = ""
         if glue:
+            head, tail = _TOKEN.findall(current)[-1:], _TOKEN.findall(text)[:1]
+            core = "".join(head + tail).strip(_OUTER)
+            if head and tail and whole and whole != core.lower():  # the joined word's own misreadings
+                text = "".join(head + tail).replace(core, _match_case(core, whole), 1) + text[len(tail[0]) :]
+                current = current[: len(current) - len(head[0])]
             current = current + text
         else:
             current = f"{current} {text}" if current else text
         glue, gap, turned, width = (i + 1) in joins, False, False, len(line)
+        whole = joins.get(i + 1)
         if glue:
             current = current.rstrip(MARKS)
-            # the joined word's own misreadings are mended with the next token
         elif current and current[-1] in "-‐‑" and current[-2:-1].isalpha():
             glue = True
     if current:
         out.append(current)
-    text = "\n\n".join(out)
-    return _TOKEN.sub(lambda m: (lambda core: m.group(0).replace(core, _match_case(core, fixes[core.lower()]), 1) if core.lower() in fixes else m.group(0))(m.group(0).strip(_OUTER)), text) if fixes else text
+    return "\n\n".join(out)
 
 
 def repaired(docs: DataFrame) -> DataFrame:
@@ -429,8 +495,7 @@ def repaired(docs: DataFrame) -> DataFrame:
         out = []
         for (path, lines, kind, _), notes in zip(_parsed(batch), batch.column("notes").to_pylist()):
             notes = notes or []
-            fixes = {x["w"]: x["f"] for x in notes if x["kind"] == "misread"}
-            fixes |= {x["w"]: x["f"] for x in notes if x["kind"] == "hyphen" and x["f"] != x["w"]}
+            fixes = {(x["line_no"], x["w"]): x["f"] for x in notes if x["kind"] == "misread"}
             out.append(reflow(lines, kind, {x["line_no"]: x["f"] for x in notes if x["kind"] == "hyphen"}, fixes))
         return {"raw_path": batch.column("raw_path"), "text": out}
 

@@ -329,6 +329,19 @@ def test_scan_findings(spark):
     assert scans.found(df.limit(0)).count() == 0
 
 
+def test_context_decides_on_rare_words(spark):
+    # "dean" is a stroke twin of "clean", eight times as frequent, with other words around it
+    meta = {"extension": ".pdf"}
+    rows = [(f"a{i}", "they keep the water clean for every village there", None, meta) for i in range(160)]
+    rows += [(f"b{i}", "our faculty elected a dean of science last spring", None, meta) for i in range(12)]
+    rows += [("one", "they keep the water dean for every village there\nour faculty elected a dean of science last spring", None, meta)]
+    df = spark.createDataFrame(rows, SCAN)
+    assert {tuple(r) for r in scans.found(df).collect()} == {("one", 1, "misread")}
+    text = {r.raw_path: r.text for r in scans.repaired(df).collect()}
+    assert text["one"] == "they keep the water clean for every village there our faculty elected a dean of science last spring"
+    assert text["b0"] == rows[160][1]
+
+
 def test_glyph_edits():
     assert scans.edits("iricome", "income") == [1] and scans.edits("raisecl", "raised") == [5]
     assert scans.edits("ﬁscal", "fiscal") == [0] and scans.edits("filmgs", "filings") is not None
