@@ -76,10 +76,10 @@ def first_sentences(body: Column | str, n: int = 2) -> Column:
     return F.substring(F.array_join(F.slice(F.split(text, r"(?<=[.!?])\s+"), 1, n), " "), 1, 700)
 
 
-def paragraphs(text: Column | str, most: int = 20, preview: int = 180) -> Column:
-    """The first ``most`` paragraphs, cut to ``preview`` characters."""
+def paragraphs(text: Column | str, most: int | None = None, preview: int = 180) -> Column:
+    """The paragraphs, or the first ``most`` where it is given, cut to ``preview`` characters."""
     parts = F.filter(F.transform(F.split(F.coalesce(_col(text), F.lit("")), r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.transform(F.slice(parts, 1, most), lambda x: F.substring(x, 1, preview))
+    return F.transform(parts if most is None else F.slice(parts, 1, most), lambda x: F.substring(x, 1, preview))
 
 
 def sections(markdown: Column | str) -> Column:

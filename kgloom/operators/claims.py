@@ -97,13 +97,15 @@ FIGURES = {
 }
 
 
-def figures(parsed: DataFrame) -> DataFrame:
-    """``raw_path, kind, line_no, raw, ix``: the figures of each line of the parsed documents, at most 200 a document and kind in
-    order."""
+def figures(parsed: DataFrame, most: int | None = None) -> DataFrame:
+    """``raw_path, kind, line_no, raw, p``: the figures of each line of the parsed documents, the ``p``-th of their kind in the line;
+    where ``most`` is given, so many a document and kind in order."""
     lines = parsed.where("markdown is not null").dropDuplicates(["raw_path"]).select("raw_path", F.posexplode(F.split("markdown", "\n")).alias("n", "line")).where(F.col("line").rlike("[%$]"))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("line", F.lit(x), F.lit(1)).alias("found")) for k, x in FIGURES.items()])
     every = lines.select("raw_path", (F.col("n") + 1).alias("line_no"), F.explode(kinds).alias("g")).select("raw_path", "g.kind", "line_no", F.posexplode("g.found").alias("p", "raw"))
-    return every.withColumn("ix", F.row_number().over(Window.partitionBy("raw_path", "kind").orderBy("line_no", "p"))).where("ix <= 200").drop("p")
+    if most is None:
+        return every
+    return every.withColumn("ix", F.row_number().over(Window.partitionBy("raw_path", "kind").orderBy("line_no", "p"))).where(F.col("ix") <= most).drop("ix")
 
 
 def figure_forms(kind: Column, raw: Column) -> Column:
@@ -135,6 +137,6 @@ def completeness(parsed: DataFrame, sources: DataFrame, pages: DataFrame) -> Dat
     cited = cite.join(broadcast_if_small(src), "skey")
     held = cited.select("raw_path", F.explode("held").alias("form")).distinct()
     wanted = figures(parsed).join(broadcast_if_small(cited.select("raw_path").distinct()), "raw_path", "left_semi")
-    asked = wanted.select("raw_path", "kind", "ix", figure_forms(F.col("kind"), F.col("raw")).alias("forms")).where(F.size("forms") > 0)
-    hit = asked.select("raw_path", "kind", "ix", F.explode("forms").alias("form")).join(held.withColumn("there", F.lit(True)), ["raw_path", "form"], "left").groupBy("raw_path", "kind", "ix").agg(F.max("there").alias("there"))
+    asked = wanted.select("raw_path", "kind", "line_no", "p", figure_forms(F.col("kind"), F.col("raw")).alias("forms")).where(F.size("forms") > 0)
+    hit = asked.select("raw_path", "kind", "line_no", "p", F.explode("forms").alias("form")).join(held.withColumn("there", F.lit(True)), ["raw_path", "form"], "left").groupBy("raw_path", "kind", "line_no", "p").agg(F.max("there").alias("there"))
     return hit.groupBy("raw_path").agg(F.count("*").alias("numerics"), F.count_if(F.col("there").isNull()).alias("missing")).where("missing > 0")

@@ -59,7 +59,7 @@ def heading_sections(rows: DataFrame, key: str, markdown: str) -> DataFrame:
 
 
 def paragraph_chunks(rows: DataFrame, key: str, body: str) -> DataFrame:
-    """``key, chunk, preview`` of the first 20 paragraphs."""
+    """``key, chunk, preview`` of every paragraph."""
     return rows.where(F.col(body).isNotNull()).dropDuplicates([key]).select(key, F.posexplode(paragraphs(body)).alias("chunk", "preview"))
 
 

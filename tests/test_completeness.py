@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kgloom.operators import claims
+from kgloom.operators import claims, web
 
 
 @pytest.mark.parametrize(
@@ -33,3 +33,11 @@ def test_dollar_figures_are_checked(spark):
     assert completeness(spark, text, "nothing") == [("raw/a.pdf", 5, 5)]
     assert completeness(spark, text, "made 6794 million at 1.25, 12,345 in cash") == [("raw/a.pdf", 5, 1)]
     assert completeness(spark, text, "made 6.794, cost 1250, 12.3 in cash, 75.50 in all") == []
+
+
+def test_long_documents_are_whole(spark):
+    text = "\n".join(f"{10 + i % 80}.{i % 10}% of ${100 + i}.5 million" for i in range(260))
+    assert completeness(spark, text, "") == [("raw/a.pdf", 520, 520)]
+    body = "\n\n".join(f"paragraph {i}" for i in range(30))
+    rows = web.paragraph_chunks(spark.createDataFrame([("p", body)], "id string, body string"), "id", "body").collect()
+    assert sorted((r.chunk, r.preview) for r in rows) == [(i, f"paragraph {i}") for i in range(30)]
