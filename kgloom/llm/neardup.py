@@ -2,8 +2,8 @@
 
 Each text is the set of its distinct word shingles; records with equal sets are one class with one representative.  A forest of
 ``TREES`` prefix tries holds the representatives: a tree's label is a sequence of minhashes, and records under one prefix are
-candidates.  The descent starts at the longest prefix and shortens it until the recall, estimated from the verified pairs (each
-stands for 1 / P(found at its similarity)), reaches the target; candidates of each depth are verified exactly on their shingles.
+candidates, verified exactly on their shingles.  Records under one long prefix are under its shorter ones, too, so one depth is
+enough: the longest at which a pair right at the threshold, the worst case, is found with the target probability.
 
 Prefixes are 64-bit keys, sorted and joined with themselves by Spark, so that tries are never gathered in a task and a crowded
 prefix is split like any skewed key; false matches of keys fall to the verification.
@@ -24,8 +24,8 @@ from .arrow import map_arrow
 
 TREES = 64
 HASHES = 256  # minhashes of a record; a tree's label is a random sequence of them
-DEPTHS = (8, 7, 6, 5, 4)  # prefix lengths, tried in this order
-TARGET = 0.999  # estimated recall at which the shortening stops
+DEPTHS = (8, 7, 6, 5, 4, 3, 2, 1)  # prefix lengths, the longest that reaches the target is taken
+TARGET = 0.999  # recall of pairs at the threshold
 #: If set, a class of more members is listed as links of its representative only; all pairs of all classes otherwise.
 LISTED_CLASS: int | None = None
 CLASS_PART = 1000  # members of a class that meet a record in one task
@@ -105,45 +105,37 @@ def classes(rows: DataFrame, key: str, text: str, size: int, least_words: int) -
     return members, grams
 
 
+def prefix(threshold: float) -> int:
+    """The longest prefix under which a pair at ``threshold``, and so every more similar one, is found with ``TARGET``."""
+    return next((d for d in DEPTHS if 1 - (1 - threshold**d) ** TREES >= TARGET), DEPTHS[-1])
+
+
 def similar(reps: DataFrame, threshold: float) -> DataFrame:
     """``rid, grams`` to ``a, b, similarity``: pairs of different sets at or above the threshold, ``a < b``."""
-    done: DataFrame | None = None
-    result: DataFrame | None = None
-    for depth in DEPTHS:
-
-        def work(batch, depth=depth) -> dict:
-            column = batch.column("grams")
-            values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            sets = [values[a:b].view(np.uint64) for a, b in zip(offsets, offsets[1:])]
-            k = keys(sets, depth)
-            return {"key": k.view(np.int64).ravel(), "rid": np.repeat(batch.column("rid").to_numpy(zero_copy_only=False), TREES)}
-
-        labels = _map_lists(reps, "key bigint, rid bigint", work)
-        labels = cut(labels, "labels")
-        pairs = labels.select("key", F.col("rid").alias("a")).join(labels.select("key", F.col("rid").alias("b")), "key").where("a < b").select("a", "b").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "candidates")
-        release(labels)
-        involved = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-        own = cut(reps.join(broadcast_if_small(cut(involved, "involved")), "rid", "left_semi"), "own")
-        common = F.size(F.array_intersect("ga", "gb"))
-        checked = (
-            pairs.join(own.select(F.col("rid").alias("a"), F.col("grams").alias("ga")), "a")
-            .join(own.select(F.col("rid").alias("b"), F.col("grams").alias("gb")), "b")
-            .select("a", "b", (common / (F.size("ga") + F.size("gb") - common)).alias("similarity"))
-            .where(F.col("similarity") >= threshold)
-        )
-        checked = cut(checked, "similar")
-        release(own)
-        result = checked if result is None else cut(result.unionByName(checked), "similar")
-        done = pairs if done is None else done.unionByName(pairs)
-        # each pair found stands for 1 / P(found) pairs of its similarity
-        p = 1 - F.pow(1 - F.pow(F.col("similarity"), F.lit(depth)), F.lit(TREES))
-        got, meant = result.agg(F.count("*"), F.sum(1 / p)).first()
-        if not got or got >= TARGET * meant:
-            break
-    return result
+    depth = prefix(threshold)
+
+    def work(batch) -> dict:
+        column = batch.column("grams")
+        values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        sets = [values[a:b].view(np.uint64) for a, b in zip(offsets, offsets[1:])]
+        k = keys(sets, depth)
+        return {"key": k.view(np.int64).ravel(), "rid": np.repeat(batch.column("rid").to_numpy(zero_copy_only=False), TREES)}
+
+    labels = cut(_map_lists(reps, "key bigint, rid bigint", work), "labels")
+    pairs = cut(labels.select("key", F.col("rid").alias("a")).join(labels.select("key", F.col("rid").alias("b")), "key").where("a < b").select("a", "b").distinct(), "candidates")
+    release(labels)
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    own = cut(reps.join(broadcast_if_small(cut(involved, "involved")), "rid", "left_semi"), "own")
+    common = F.size(F.array_intersect("ga", "gb"))
+    checked = (
+        pairs.join(own.select(F.col("rid").alias("a"), F.col("grams").alias("ga")), "a")
+        .join(own.select(F.col("rid").alias("b"), F.col("grams").alias("gb")), "b")
+        .select("a", "b", (common / (F.size("ga") + F.size("gb") - common)).alias("similarity"))
+        .where(F.col("similarity") >= threshold)
+    )
+    checked = cut(checked, "similar")
+    release(own)
+    return checked
 
 
 def _map_lists(df: DataFrame, schema: str, work) -> DataFrame:

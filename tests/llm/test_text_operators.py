@@ -5,6 +5,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 
 from kgloom.llm import boilerplate, leakage, neardup, scans, split, stuffing, tokens
@@ -211,6 +212,19 @@ def test_all_pairs_of_large_classes(spark, monkeypatch):
     assert sorted(got) == [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]]
 
 
+def test_recall_at_the_threshold_beside_a_crowd(spark):
+    r = random.Random(5)
+    crowd = [np.unique(np.r_[np.arange(400), 1000 + i]) for i in range(60)]  # found at any depth
+    edge = []
+    for i in range(1000):  # similarity 14 / 20
+        s = np.array([r.getrandbits(62) for _ in range(20)])
+        edge += [np.sort(s[:17]), np.sort(np.r_[s[:14], s[17:]])]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(crowd + edge)], "rid bigint, grams array<bigint>")
+    got = {(x.a, x.b) for x in neardup.similar(df, 0.7).collect()}
+    assert sum((60 + 2 * i, 61 + 2 * i) in got for i in range(1000)) >= 995
+    assert neardup.prefix(0.7) == 6 and neardup.prefix(0.8) == 8 and 1 - (1 - 0.3 ** neardup.prefix(0.3)) ** neardup.TREES >= neardup.TARGET
+
+
 def test_groups(spark):
     rows = near_case(80, 11)
     df = spark.createDataFrame(rows, "id string, body string")
