@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import day, json_list, summary, title
 from ..plans.materialize import broadcast_if_small
-from .ontology import OBJECT_TYPES
+from .ontology import LINK_TYPES, OBJECT_TYPES
 from .orphans import canonical_id
 
 STALE_DAYS = 180
@@ -17,10 +17,13 @@ STALE_DAYS = 180
 CATALOG_ORDER = ("Customer", "Product", "Person", "Concept", "Source")
 
 
-def lint(node: DataFrame, edge: DataFrame, as_of: str) -> DataFrame:
-    """``key, rule, value``: stale or unreadable dates, pages without sources, unknown types, broken links and orphans.
+def lint(node: DataFrame, edge: DataFrame, as_of: str, pages: DataFrame | None = None) -> DataFrame:
+    """``key, rule, value``: stale or unreadable dates, pages without sources, unknown types, unknown link types, broken links,
+    orphans and, where ``pages`` is given, pages without frontmatter.
 
-    A page is stale when it was updated more than 180 days before ``as_of``; Source pages are never orphans.
+    A page is stale when it was updated more than 180 days before ``as_of``.  Source pages and pages that an action wrote (a source
+    that begins with ``action:``) are never orphans.  A page has no frontmatter if its id is blank, or its type and sources are null;
+    it is named by its path.  Each case is one row, however often the page is delivered or the link repeated.
     """
     date = day("updated")
     age = F.datediff(F.lit(as_of).cast("date"), date)
@@ -33,8 +36,23 @@ def lint(node: DataFrame, edge: DataFrame, as_of: str) -> DataFrame:
     keys = broadcast_if_small(node.select("key"))
     broken = edge.select("src", F.col("dst").alias("key")).join(keys, "key", "left_anti").join(keys.withColumnRenamed("key", "src"), "src", "left_semi").select(F.col("src").alias("key"), F.lit("broken_link").alias("rule"), F.col("key").alias("value")).distinct()
     targets = edge.select(F.col("dst").alias("key")).distinct()
-    orphan = node.where("type <> 'Source'").join(targets, "key", "left_anti").select("key", F.lit("orphan").alias("rule"), F.lit("").alias("value"))
-    return reduce(DataFrame.unionByName, [*own, broken, orphan])
+    written = F.exists("sources", lambda x: x.startswith("action:"))
+    orphan = node.where((F.col("type") != "Source") & ~written).join(targets, "key", "left_anti").select("key", F.lit("orphan").alias("rule"), F.lit("").alias("value"))
+    typed = edge.where(F.col("origin") == "frontmatter").select(F.col("src").alias("key"), F.lit("unknown_link_type").alias("rule"), F.coalesce("type", F.lit("")).alias("value"))
+    unknown = typed.where(~F.col("value").isin(*LINK_TYPES)).distinct().join(keys, "key", "left_semi")
+    found = [*own, broken, orphan, unknown]
+    if pages is not None:
+        bare = (F.coalesce(canonical_id(F.col("id")), F.lit("")) == "") | (F.col("type").isNull() & F.col("source_ids").isNull())
+        found.append(pages.where(bare).select(F.coalesce("path", F.lit("")).alias("key"), F.lit("missing_frontmatter").alias("rule"), F.lit("").alias("value")).distinct())
+    return reduce(DataFrame.unionByName, found)
+
+
+def lint_counts(issues: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+    """``rule, issues``: how many issues of each rule, with the sources of incomplete extraction (rows of ``gaps``) as a rule."""
+    out = issues.select("rule")
+    if gaps is not None:
+        out = out.unionByName(gaps.select(F.lit("extraction_completeness_gap").alias("rule")))
+    return out.groupBy("rule").agg(F.count("*").alias("issues"))
 
 
 def spellings(pages: DataFrame, links: DataFrame) -> DataFrame:

@@ -155,7 +155,11 @@ def numeric_completeness(s, d):
 
 def lint_report(s, d):
     node, edge = _graph(s, d)
-    return quality.lint(node, edge, AS_OF)
+    return quality.lint(node, edge, AS_OF, t(s, d, "pages"))
+
+
+def lint_counts(s, d):
+    return quality.lint_counts(lint_report(s, d), numeric_completeness(s, d))
 
 
 def source_inventory(s, d):
@@ -331,7 +335,7 @@ def memo_summary(s, d):
 
 _NAMES = """bm25_topk bm25_repeated_terms bm25_pages fts_rank_filtered fts_tagged fts_porter_rank seed_resolution answer_contexts graph_nodes graph_edges ontology_conformance
 edges_resolved bfs_hops expand_outgoing typed_pattern coverage_by_type provenance_chain freshness_warnings numeric_claims contradictions metric_rollup numeric_completeness
-lint_report source_inventory kind_counts duplicate_ids merge_winners rewritten_links merged_sources record_entities record_links record_content_hash table_fingerprint slugs url_slugs
+lint_report lint_counts source_inventory kind_counts duplicate_ids merge_winners rewritten_links merged_sources record_entities record_links record_content_hash table_fingerprint slugs url_slugs
 html_text html_links crawl_frontier heading_sections paragraph_chunks titles_summaries first_sentences wikilinks catalog decisions_from_audit precedent_search precedent_for
 replay_live_pages replay_prior_decisions review_queue_dedup review_queue_stream events_windowed graph_export_nodes snapshot_roundtrip source_references trace_kinds memo_summary""".split()
 
@@ -436,6 +440,51 @@ _NORM = r"""regexp_replace(concat(regexp_replace(lower(regexp_extract({0}, '^([A
   substr({0}, length(regexp_extract({0}, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?]*)', 1)) + 1)), '/$', '')"""
 _HTMLS = "htm AS (SELECT 'https://kb.example/wiki/' || id AS url, id, title FROM (SELECT id, arg_min(title, title) AS title FROM pages GROUP BY id))"
 
+def _even(x: str, digits: int) -> str:
+    """``x``, a decimal of at least 0, as text with so many digits, halves to even; with -2 digits to hundreds."""
+    unit = 10 ** max(digits, 0)
+    y = f"({x}) * {unit}" if digits >= 0 else f"({x}) / {10 ** -digits}"
+    low, rest = f"CAST(floor({y}) AS HUGEINT)", f"(({y}) - floor({y}))"
+    n = f"({low} + CASE WHEN {rest} > 0.5 OR ({rest} = 0.5 AND {low} % 2 = 1) THEN 1 ELSE 0 END)"
+    if digits <= 0:
+        return f"CAST({n} * {10 ** -digits} AS VARCHAR)"
+    return f"CAST({n} // {unit} AS VARCHAR) || '.' || lpad(CAST({n} % {unit} AS VARCHAR), {digits}, '0')"
+
+
+_FIGURES = " UNION ALL ".join(
+    f"SELECT raw_path, n, '{k}' AS kind, regexp_extract_all(line, '{x}', 1) AS r FROM line"
+    for k, x in {
+        "usd_billion": r"(?i)\$\s*(\d{1,3}(?:[,.]\d{1,3})*(?:\.\d+)?)\s*(?:billion|(?:B|bn)(?:[^\p{L}\p{N}_]|$))",
+        "usd_million": r"(?i)\$\s*(\d{1,3}(?:,\d{3})*(?:\.\d+)?)\s*(?:million|(?:M|mn)(?:[^\p{L}\p{N}_]|$))",
+        "usd_table": r"\$\s*(\d{1,3}(?:,\d{3})+(?:\.\d+)?)",
+        "percent": r"(?:^|[^A-Za-z0-9])(\d{1,3}(?:\.\d+)?)[ \t]*%",
+    }.items()
+)
+_COMPLETE = f"""
+WITH {_PAGE}, src AS (SELECT DISTINCT {_C.format("id")} AS skey, raw_path FROM sources WHERE raw_path <> ''),
+cite AS (SELECT unnest(list_distinct(list_transform({_JSON.format("source_ids")}, lambda x: {_C.format("x")}))) AS skey,
+  list_concat(regexp_extract_all(coalesce(body, ''), '\\d+(?:\\.\\d+)?'), regexp_extract_all(coalesce(body, ''), '\\d+(?:[,.]\\d+)*')) AS held FROM page),
+cited AS (SELECT raw_path, held FROM cite JOIN src USING (skey)),
+held AS (SELECT DISTINCT raw_path, unnest(held) AS form FROM cited),
+doc AS (SELECT raw_path, any_value(markdown) AS markdown FROM parsed_documents WHERE markdown IS NOT NULL AND raw_path IN (SELECT raw_path FROM cited) GROUP BY raw_path),
+line AS (SELECT raw_path, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) AS n FROM doc),
+num AS (SELECT raw_path, kind, n, unnest(r) AS raw, generate_subscripts(r, 1) AS p FROM ({_FIGURES})),
+val AS (SELECT *, replace(raw, ',', '') AS plain, TRY_CAST(replace(raw, ',', '') AS DECIMAL(24, 9)) AS v FROM num),
+form AS (SELECT raw_path, kind, n, p, list_filter(list_distinct([raw, plain] || CASE
+    WHEN kind = 'percent' THEN [{_even("v", 1)}, {_even("v", 2)}, CASE WHEN v = floor(v) THEN CAST(CAST(floor(v) AS HUGEINT) AS VARCHAR) END]
+    WHEN kind = 'usd_billion' THEN [CAST(CAST(floor(v * 1000) AS HUGEINT) AS VARCHAR), {_even("v * 1000", -2)}, {_even("v * 1000", 0)}]
+    ELSE [{_even("v / 1000", 3)}, {_even("v / 1000", 2)}, {_even("v / 1000", 1)}] END), lambda x: length(x) >= 3) AS f FROM val WHERE v IS NOT NULL),
+hit AS (SELECT f.raw_path, kind, n, p, bool_or(h.form IS NOT NULL) AS there FROM (SELECT raw_path, kind, n, p, unnest(f) AS form FROM form) f LEFT JOIN held h ON h.raw_path = f.raw_path AND h.form = f.form GROUP BY ALL)
+SELECT raw_path, count(*) AS numerics, count(*) FILTER (WHERE NOT there) AS missing FROM hit GROUP BY raw_path HAVING missing > 0"""
+
+_LINT = "WITH " + _GRAPH + f""", ty AS (SELECT *, {_ISO.format("updated")} AS dt FROM node)
+SELECT key, 'bad_date' AS rule, updated AS value FROM ty WHERE dt IS NULL UNION ALL SELECT key, 'stale', updated FROM ty WHERE date_diff('day', dt, DATE '{AS_OF}') > 180
+UNION ALL SELECT key, 'no_sources', '' FROM ty WHERE len(sources) = 0 AND type <> 'Source' UNION ALL SELECT key, 'unknown_type', coalesce(type, '') FROM ty WHERE coalesce(type, '') NOT IN {ontology.OBJECT_TYPES}
+UNION ALL SELECT * FROM (SELECT DISTINCT src, 'broken_link', dst FROM edge WHERE dst NOT IN (SELECT key FROM node) AND src IN (SELECT key FROM node))
+UNION ALL SELECT * FROM (SELECT DISTINCT src, 'unknown_link_type', coalesce(type, '') FROM edge WHERE origin = 'frontmatter' AND coalesce(type, '') NOT IN {tuple(ontology.LINK_TYPES)} AND src IN (SELECT key FROM node))
+UNION ALL SELECT * FROM (SELECT DISTINCT coalesce(path, ''), 'missing_frontmatter', '' FROM pages WHERE coalesce({_C.format("id")}, '') = '' OR (type IS NULL AND source_ids IS NULL))
+UNION ALL SELECT key, 'orphan', '' FROM ty WHERE type <> 'Source' AND len(list_filter(sources, lambda x: starts_with(x, 'action:'))) = 0 AND key NOT IN (SELECT dst FROM edge)"""
+
 ORACLE = {
     "bm25_topk": _bm25_sql("documents", "doc_id", "text", QUESTION, "LIMIT 5"),
     "bm25_repeated_terms": _bm25_sql("documents", "doc_id", "text", REPEATED, "LIMIT 20"),
@@ -474,23 +523,9 @@ SELECT key, updated, source, source_updated FROM pc JOIN ss ON skey = {_C.format
 FROM claim WHERE kind NOT IN ('percent', 'usd_billion', 'usd_million') OR (segment <> 'company_wide' AND period <> 'unspecified') GROUP BY ALL HAVING distinct_values > 1""",
     "metric_rollup": "WITH " + _claims_sql() + """ SELECT count(*) FILTER (WHERE kind = 'revenue') AS revenue_claims, min(value) FILTER (WHERE kind = 'revenue') AS min_revenue_usd_b, max(value) FILTER (WHERE kind = 'revenue') AS max_revenue_usd_b,
 count(*) FILTER (WHERE kind = 'gross_margin') AS margin_claims, min(value) FILTER (WHERE kind = 'gross_margin') AS min_gross_margin_pct, max(value) FILTER (WHERE kind = 'gross_margin') AS max_gross_margin_pct FROM claim""",
-    "numeric_completeness": f"""
-WITH {_PAGE}, src AS (SELECT DISTINCT {_C.format("id")} AS skey, raw_path FROM sources WHERE raw_path <> ''),
-cite AS (SELECT unnest(list_distinct(list_transform({_JSON.format("source_ids")}, lambda x: {_C.format("x")}))) AS skey, regexp_extract_all(coalesce(body, ''), '\\d+(?:\\.\\d+)?') AS held FROM page),
-cited AS (SELECT raw_path, held FROM cite JOIN src USING (skey)),
-held AS (SELECT DISTINCT raw_path, unnest(held) AS form FROM cited),
-doc AS (SELECT raw_path, any_value(markdown) AS markdown FROM parsed_documents WHERE markdown IS NOT NULL AND raw_path IN (SELECT raw_path FROM cited) GROUP BY raw_path),
-line AS (SELECT raw_path, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) AS n FROM doc),
-num AS (SELECT raw_path, n, unnest(r) AS raw, generate_subscripts(r, 1) AS p FROM (SELECT raw_path, n, regexp_extract_all(line, '(?:^|[^A-Za-z0-9])(\\d{{1,3}}(?:\\.\\d+)?)[ \\t]*%', 1) AS r FROM line)),
-cut AS (SELECT *, row_number() OVER (PARTITION BY raw_path ORDER BY n, p) AS ix FROM num QUALIFY ix <= 200),
-form AS (SELECT raw_path, ix, list_filter([raw, printf('%.1f', CAST(raw AS DOUBLE)), printf('%.2f', CAST(raw AS DOUBLE)), CASE WHEN CAST(raw AS DOUBLE) = floor(CAST(raw AS DOUBLE)) THEN CAST(CAST(floor(CAST(raw AS DOUBLE)) AS BIGINT) AS VARCHAR) END], lambda x: x IS NOT NULL AND length(x) >= 3) AS f FROM cut),
-hit AS (SELECT f.raw_path, f.ix, bool_or(h.form IS NOT NULL) AS there FROM (SELECT raw_path, ix, unnest(f) AS form FROM form) f LEFT JOIN held h ON h.raw_path = f.raw_path AND h.form = f.form GROUP BY ALL)
-SELECT raw_path, count(*) AS numerics, count(*) FILTER (WHERE NOT there) AS missing FROM hit GROUP BY raw_path HAVING missing > 0""",
-    "lint_report": "WITH " + _GRAPH + f""", ty AS (SELECT *, {_ISO.format("updated")} AS dt FROM node)
-SELECT key, 'bad_date' AS rule, updated AS value FROM ty WHERE dt IS NULL UNION ALL SELECT key, 'stale', updated FROM ty WHERE date_diff('day', dt, DATE '{AS_OF}') > 180
-UNION ALL SELECT key, 'no_sources', '' FROM ty WHERE len(sources) = 0 AND type <> 'Source' UNION ALL SELECT key, 'unknown_type', coalesce(type, '') FROM ty WHERE coalesce(type, '') NOT IN {ontology.OBJECT_TYPES}
-UNION ALL SELECT * FROM (SELECT DISTINCT src, 'broken_link', dst FROM edge WHERE dst NOT IN (SELECT key FROM node) AND src IN (SELECT key FROM node))
-UNION ALL SELECT key, 'orphan', '' FROM ty WHERE type <> 'Source' AND key NOT IN (SELECT dst FROM edge)""",
+    "numeric_completeness": _COMPLETE,
+    "lint_report": _LINT,
+    "lint_counts": f"SELECT rule, count(*) AS issues FROM (SELECT rule FROM ({_LINT}) UNION ALL SELECT 'extraction_completeness_gap' FROM ({_COMPLETE})) GROUP BY rule",
     "source_inventory": f"""
 WITH s AS (SELECT DISTINCT id, raw_path FROM sources), r AS (SELECT {_C.format("source_id")} AS skey, count(DISTINCT {_C.format("page_id")}) AS pages FROM page_sources WHERE {_C.format("page_id")} <> '' GROUP BY 1),
 c AS (SELECT raw_path, max(coalesce(len(chunks), 0)) AS chunks FROM parsed_documents GROUP BY 1)
