@@ -1,55 +1,54 @@
 """Keyword-stuffed and link-list pages.
 
-For each page the suffix automaton of its words gives the characters covered by repeated maximal substrings.  Each line is cut
-into segments, and each segment is judged by its clause structure: the share of function words, links and separators, and
-whether it closes as a sentence does; where the structure leaves it open, the share of its characters that repeated substrings
-cover decides.  A page is stuffed when sentences hold less than half of its words and keyword segments most of the rest.
+For each page the suffix automaton of its tokens (words, marks) gives the characters covered by repeated maximal substrings.  Each
+line is cut into segments.  A segment's clause structure is the share of short words, which hold the words of a clause together in
+any language, and whether it closes as a sentence does; the more of it is repetition, the more clause structure it needs to count
+as a sentence (``needed``).  A page is stuffed when sentences hold less than half of its words and keywords and links most of the
+rest.  No list of words takes part.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_arrow
 
-# Function words of the four languages of the corpus, those that hold clauses together.
-FUNCTION_WORDS = frozenset(
-    """a an the of in on at to for from by with without into than then and or but nor as because since after before while if
-    that which this these those there it its is are was were be been being has have had not no neither either would will may
-    might should could can must do does did why who whom whose what how when where once now between although though unless
-    until about under over per he she they we you i his her their our your my whereas so even provided following both each
-    der die das den dem des ein eine einer eines einem einen und oder aber nicht kein keine in im am an auf aus bei mit nach
-    von vom vor zu zum zur für über unter durch um als wie weil dass ob obwohl sobald wenn während ist sind war waren wird
-    wurde hat haben hatte sich es er sie wir noch nur auch sehr mehr laut einer was
-    le la les l un une des du de d et ou mais ne pas à au aux en dans sur sous par pour avec sans que qui dont où ce cette ces
-    son sa ses leur est sont était a ont avait il elle nous vous se s qu plus comme bien alors après avant parce selon si
-    el los las una unos unas del al y o pero no con sin por para según tras que quien cuyo como cuando donde es son era fue ha
-    han había su sus se lo le más muy ya hasta desde entre aunque mientras siempre porque este esta estos""".split()
-)
-
 _LINK = re.compile(r"https?://\S+|www\.\S+|\[\[[^\]]*\]\]|\[([^\]]*)\]\([^)]*\)")
 _WORD = re.compile(r"[^\W_]+(?:['’.,][^\W_]+)*")
 _END = re.compile(r"(?<=[.!?…。！？؟।])[\"”’»)\]]*\s+")
 _CLOSED = re.compile(r"[.!?…:;。！？؟।][\"”’»)\]]*\s*$")
-_SEPARATORS = re.compile(r"\s[-–—/|·•,;]\s|[|/·•;,#]")
 _HEADING = re.compile(r"^\s*#{1,6}\s")
 _MARK = re.compile(r"^\s*(?:[-*•·>]|\d+[.)])\s+")
+_TOKEN = re.compile(r"[^\W_]+|[^\w\s]")
+#: Scripts written without blanks between words.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+
+LEAST = 8  # characters of a repeated substring
+SHORT = 3  # letters of a short word
+CLAUSE = 0.04  # share of short words that a closed segment without repetition needs
+OPEN = 0.2  # what a segment that does not close as a sentence needs in addition
+REPEATED, WEIGHT = 0.4, 0.25  # from this share of repeated characters on, more is needed, by this weight
+UNSPACED_SHORT = 0.15  # clause structure of a segment in a script without blanks
+TITLE_WORDS = 12  # a heading of up to so many words is neither sentence nor keywords
 MIN_WORDS = 1
+FRESH = 0.03  # a page of which less than this share is said for the first time is stuffed
 
 
-def covered(words: list[str], least: int = 2) -> list[bool]:
-    """For each word whether it lies in a substring of at least ``least`` words that occurs again in the page.
+def repeats(tokens: list[str]) -> tuple[list[int], list[int]]:
+    """For each token how many tokens, it the last, form the longest substring that occurs again in the page, and the longest that
+    occurs before.
 
-    Blumer's automaton over the page's words, in time linear in their number; the longest repeated suffix at each position
-    marks the maximal repeated substrings.
+    Blumer's automaton, in time linear in the number of tokens: a new state's suffix link is its longest suffix that was there
+    before; the states that more than one end share are the maximal repeated substrings.
     """
     nxt: list[dict[str, int]] = [{}]
-    link, length, count, at = [-1], [0], [0], []
+    link, length, count, at, before = [-1], [0], [0], [], []
     last = 0
-    for w in words:
+    for w in tokens:
         cur = len(nxt)
         nxt.append({})
         length.append(length[last] + 1)
@@ -75,8 +74,9 @@ def covered(words: list[str], least: int = 2) -> list[bool]:
                 link[q] = link[cur] = clone
         last = cur
         at.append(cur)
+        before.append(length[link[cur]])
     # number of occurrences, from long to short states; lengths are small integers, so they are sorted by counting
-    order: list[list[int]] = [[] for _ in range(len(words) + 1)]
+    order: list[list[int]] = [[] for _ in range(len(tokens) + 1)]
     for s in range(1, len(nxt)):
         order[length[s]].append(s)
     for states in reversed(order):
@@ -87,84 +87,87 @@ def covered(words: list[str], least: int = 2) -> list[bool]:
     for states in order:
         for s in states:
             longest[s] = length[s] if count[s] > 1 else longest[link[s]]
-    out, reach = [False] * len(words), len(words)
-    for i in range(len(words) - 1, -1, -1):
-        n = longest[at[i]]
-        if n >= least:
+    return [longest[s] for s in at], before
+
+
+def covered(lengths: list[int], sizes: list[int], least: int = LEAST) -> list[bool]:
+    """For each token whether one of the substrings that end with ``lengths`` tokens and have at least ``least`` characters holds it."""
+    upto = [0, *accumulate(sizes)]
+    out, reach = [False] * len(lengths), len(lengths)
+    for i in range(len(lengths) - 1, -1, -1):
+        n = lengths[i]
+        if n and upto[i + 1] - upto[i + 1 - n] >= least:
             reach = min(reach, i - n + 1)
         if i >= reach:
             out[i] = True
     return out
 
 
-def profile(text: str | None) -> tuple[int, int, int, float]:
-    """(words, words in sentences, words in keyword segments, share of characters covered by repeated substrings)."""
-    segments: list[tuple[int, int, int, bool, bool, int, int, bool]] = []
-    words: list[str] = []
+def needed(repeated: float, closed: bool) -> float:
+    """The share of short words from which a segment is a sentence, if ``repeated`` of its characters lie in repeated substrings."""
+    return CLAUSE + WEIGHT * max(0.0, repeated - REPEATED) + (0.0 if closed else OPEN)
+
+
+def profile(text: str | None) -> tuple[int, int, int, float, float]:
+    """(words, words in sentences, words in keyword segments, share of characters covered by repeated substrings, share of those not
+    covered by what the page has said before)."""
+    segments: list[tuple[int, int, int, int, float, bool, bool]] = []
+    tokens: list[str] = []
+    words = 0
     for line in (text or "").splitlines():
         if not line.strip():
             continue
         heading = bool(_HEADING.match(line))
-        body = _MARK.sub("", line)
-        for part in _END.split(body):
-            links = [m for m in _LINK.finditer(part)]
-            bare = _LINK.sub(" ", part) if links else part
-            own = _WORD.findall(bare.lower())
-            linked = _WORD.findall(" ".join(m.group(0) for m in links).lower()) if links else []
-            if not own and not linked:
+        for part in _END.split(_MARK.sub("", line)):
+            found = [x.lower() for x in _TOKEN.findall(part)]
+            own = [x for x in found if x[0].isalnum()]
+            if not own:
                 continue
-            function = sum(w in FUNCTION_WORDS for w in own)
-            strange = sum(1 for w in own if w[0] > "ɏ")  # scripts without the function words above
-            segments.append((len(words), len(own), len(linked), heading, bool(_CLOSED.search(part)), function, len(_SEPARATORS.findall(bare)), strange * 2 > len(own)))
-            words += own
-            words += linked
+            linked = sum(len(_WORD.findall(m.group(0))) for m in _LINK.finditer(part))
+            short = sum(len(x) <= SHORT and x.isalpha() for x in own) / len(own)
+            if 2 * len(_UNSPACED.findall(part)) > len(part):
+                short = UNSPACED_SHORT
+            segments.append((len(tokens), len(found), len(own), linked, short, bool(_CLOSED.search(part)), heading))
+            tokens += ["0" * len(x) if x.isdigit() else x for x in found]
+            words += len(own)
     if not words:
-        return 0, 0, 0, 0.0
-    repeated = covered(words)
-    chars = [len(w) for w in words]
-    total = sum(chars)
-    share = sum(n for n, r in zip(chars, repeated) if r) / total
+        return 0, 0, 0, 0.0, 1.0
+    sizes = [len(x) for x in tokens]
+    total = [0, *accumulate(sizes)]
+    anywhere, before = repeats(tokens)
+    again = [0, *accumulate(n if r else 0 for n, r in zip(sizes, covered(anywhere, sizes)))]
+    fresh = sum(n for n, r in zip(sizes, covered(before, sizes)) if not r)
     sentence = keyword = 0
-    for start, own, linked, heading, closed, function, separators, strange in segments:
-        n = own + linked
-        cover = sum(c for c, r in zip(chars[start : start + n], repeated[start : start + n]) if r) / max(1, sum(chars[start : start + n]))
-        ratio = function / own if own else 0.0
-        if heading and own <= 12:
+    for start, size, own, linked, short, closed, heading in segments:
+        if heading and own <= TITLE_WORDS:
             continue
-        if linked > own:
-            keyword += n
-        elif strange:
-            if closed or separators < own / 3:
-                sentence += n
-            else:
-                keyword += n
-        elif ratio >= 0.2 or (ratio >= 0.1 and closed and own >= 5 and cover < 0.9) or (ratio >= 0.1 and separators <= own / 8 and own >= 6):
-            sentence += n
-        elif closed and own <= 5 and function and cover < 0.6:
-            sentence += n
+        repeated = (again[start + size] - again[start]) / (total[start + size] - total[start])
+        if 2 * linked <= own and short > needed(repeated, closed):
+            sentence += own
         else:
-            keyword += n
-    return len(words), sentence, keyword, share
+            keyword += own
+    return words, sentence, keyword, again[-1] / total[-1], fresh / total[-1]
 
 
-def stuffed(words: int, sentence: int, keyword: int, share: float) -> bool:
-    return keyword > sentence and keyword >= MIN_WORDS and 2 * sentence < words
+def stuffed(words: int, sentence: int, keyword: int, repeated: float, fresh: float) -> bool:
+    """Keywords prevail, or the page says the same few things over and over, whatever their structure."""
+    return (keyword > sentence and keyword >= MIN_WORDS and 2 * sentence < words) or fresh < FRESH
 
 
 def pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, words, sentence_words, keyword_words, repeated, stuffed`` of every row.
+    """``key, words, sentence_words, keyword_words, repeated, fresh, stuffed`` of every row.
 
-    Null, empty and wordless texts have zeros and are not stuffed.  Rows given twice come out twice; other columns are dropped.
+    Null, empty and wordless texts have zeros, are fresh and not stuffed.  Rows given twice come out twice; other columns are dropped.
     """
     rows = docs.select(key, F.col(text).alias("_text"))
     kind = rows.schema[key].dataType.simpleString()
 
     def work(batch) -> dict:
         out = [profile(t) for t in batch.column("_text").to_pylist()]
-        cols = list(zip(*out)) if out else [()] * 4
-        return {key: batch.column(key), "words": cols[0], "sentence_words": cols[1], "keyword_words": cols[2], "repeated": cols[3], "stuffed": [stuffed(*x) for x in out]}
+        cols = list(zip(*out)) if out else [()] * 5
+        return {key: batch.column(key), "words": cols[0], "sentence_words": cols[1], "keyword_words": cols[2], "repeated": cols[3], "fresh": cols[4], "stuffed": [stuffed(*x) for x in out]}
 
-    return map_arrow(rows, f"`{key}` {kind}, words bigint, sentence_words bigint, keyword_words bigint, repeated double, stuffed boolean", "_text", work)
+    return map_arrow(rows, f"`{key}` {kind}, words bigint, sentence_words bigint, keyword_words bigint, repeated double, fresh double, stuffed boolean", "_text", work)
 
 
 def found(docs: DataFrame) -> DataFrame:

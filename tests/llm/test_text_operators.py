@@ -258,13 +258,18 @@ def test_components(spark):
 def test_covered_against_brute_force():
     r = random.Random(6)
     for _ in range(300):
-        w = [r.choice("abc") for _ in range(r.randrange(0, 14))]
-        want = [False] * len(w)
+        w = [r.choice(["a", "bb", "c"]) for _ in range(r.randrange(0, 14))]
+        sizes = [len(x) for x in w]
+        want, old = [False] * len(w), [False] * len(w)
         for i in range(len(w)):
-            for j in range(i + 2, len(w) + 1):
-                if sum(w[k : k + j - i] == w[i:j] for k in range(len(w) - j + i + 1)) > 1:
-                    want[i:j] = [True] * (j - i)
-        assert stuffing.covered(w) == want
+            for j in range(i + 1, len(w) + 1):
+                starts = [k for k in range(len(w) - j + i + 1) if w[k : k + j - i] == w[i:j]]
+                if sum(sizes[i:j]) >= 3:
+                    want[i:j] = [True] * (j - i) if len(starts) > 1 else want[i:j]
+                    old[i:j] = [True] * (j - i) if starts[0] < i else old[i:j]
+        anywhere, before = stuffing.repeats(w)
+        assert stuffing.covered(anywhere, sizes, 3) == want
+        assert stuffing.covered(before, sizes, 3) == old
 
 
 PROSE = "The regional office in Varnhold named vendor lock-in as the main driver of the change. It was not expected to rise again before the end of the year. "
@@ -281,6 +286,20 @@ def test_stuffed_pages(spark):
     assert stuffing.found(df.limit(0)).count() == 0
 
 
+def test_repetition_decides_with_the_clause_structure(monkeypatch):
+    # full stops and a few short words do not make sentences of keywords; what tells them from terse prose is the repetition
+    keys = "Nimbra drive top lattice drive cheap nimbra drive. New lattice drive buy nimbra drive sale lattice drive. Nimbra drive for lattice drive discount nimbra drive. " * 3
+    terse = "Wexmoor Packaging recorded open claims on maintenance spending. Several customers postponed acceptance by one quarter. Regional suppliers expect to wait longer. "
+    phrase = "deals on shoes for you and deals on shoes for the home. " * 40
+    cyrillic = "Насос клапан цена. Клапан насос скидка. Цена насос клапан. Скидка клапан насос. " * 5
+    judge = lambda x: stuffing.stuffed(*stuffing.profile(x))
+    assert [judge(x) for x in (keys, phrase, cyrillic, terse)] == [True, True, True, False]
+    monkeypatch.setattr(stuffing, "covered", lambda lengths, sizes, least=8: [False] * len(lengths))
+    assert [judge(x) for x in (keys, phrase)] == [False, False]
+    monkeypatch.setattr(stuffing, "covered", lambda lengths, sizes, least=8: [True] * len(lengths))
+    assert judge(terse)
+
+
 # ---------------------------------------------------------------- boilerplate
 
 META = "map<string,string>"
