@@ -29,9 +29,8 @@ _UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u
 
 LEAST = 8  # characters of a repeated substring
 SHORT = 3  # letters of a short word
-CLAUSE = 0.04  # share of short words that a closed segment without repetition needs
-OPEN = 0.2  # what a segment that does not close as a sentence needs in addition
-REPEATED, WEIGHT = 0.4, 0.25  # from this share of repeated characters on, more is needed, by this weight
+OPEN = 0.2  # share of short words that a segment needs in addition if it does not close as a sentence
+REPEATED, WEIGHT = 0.4, 0.25  # from this share of repeated characters on, short words are needed, by this weight
 UNSPACED_SHORT = 0.15  # clause structure of a segment in a script without blanks
 TITLE_WORDS = 12  # a heading of up to so many words is neither sentence nor keywords
 MIN_WORDS = 1
@@ -46,14 +45,13 @@ def repeats(tokens: list[str]) -> tuple[list[int], list[int]]:
     before; the states that more than one end share are the maximal repeated substrings.
     """
     nxt: list[dict[str, int]] = [{}]
-    link, length, count, at, before = [-1], [0], [0], [], []
+    link, length, at, before = [-1], [0], [], []
     last = 0
     for w in tokens:
         cur = len(nxt)
         nxt.append({})
         length.append(length[last] + 1)
         link.append(0)
-        count.append(1)
         p = last
         while p != -1 and w not in nxt[p]:
             nxt[p][w] = cur
@@ -67,7 +65,6 @@ def repeats(tokens: list[str]) -> tuple[list[int], list[int]]:
                 nxt.append(nxt[q].copy())
                 length.append(length[p] + 1)
                 link.append(link[q])
-                count.append(0)
                 while p != -1 and nxt[p].get(w) == q:
                     nxt[p][w] = clone
                     p = link[p]
@@ -75,19 +72,10 @@ def repeats(tokens: list[str]) -> tuple[list[int], list[int]]:
         last = cur
         at.append(cur)
         before.append(length[link[cur]])
-    # number of occurrences, from long to short states; lengths are small integers, so they are sorted by counting
-    order: list[list[int]] = [[] for _ in range(len(tokens) + 1)]
-    for s in range(1, len(nxt)):
-        order[length[s]].append(s)
-    for states in reversed(order):
-        for s in states:
-            if link[s] > 0:
-                count[link[s]] += count[s]
-    longest = [0] * len(nxt)  # of the state and its suffixes, the length of the longest that occurs twice
-    for states in order:
-        for s in states:
-            longest[s] = length[s] if count[s] > 1 else longest[link[s]]
-    return [longest[s] for s in at], before
+    # a state that is another's link has more ends than that one, so it occurs twice; any other has one end, and its link is the
+    # longest suffix with more
+    again = set(link)
+    return [length[s] if s in again else length[link[s]] for s in at], before
 
 
 def covered(lengths: list[int], sizes: list[int], least: int = LEAST) -> list[bool]:
@@ -105,7 +93,7 @@ def covered(lengths: list[int], sizes: list[int], least: int = LEAST) -> list[bo
 
 def needed(repeated: float, closed: bool) -> float:
     """The share of short words from which a segment is a sentence, if ``repeated`` of its characters lie in repeated substrings."""
-    return CLAUSE + WEIGHT * max(0.0, repeated - REPEATED) + (0.0 if closed else OPEN)
+    return WEIGHT * max(0.0, repeated - REPEATED) + (0.0 if closed else OPEN)
 
 
 def profile(text: str | None) -> tuple[int, int, int, float, float]:
@@ -142,7 +130,7 @@ def profile(text: str | None) -> tuple[int, int, int, float, float]:
         if heading and own <= TITLE_WORDS:
             continue
         repeated = (again[start + size] - again[start]) / (total[start + size] - total[start])
-        if 2 * linked <= own and short > needed(repeated, closed):
+        if 2 * linked <= own and short >= needed(repeated, closed):
             sentence += own
         else:
             keyword += own
