@@ -12,8 +12,10 @@ from ..plans.materialize import spread
 
 
 def slices(batch: pa.RecordBatch, column: str, max_chars: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of ``batch`` whose ``column`` holds about ``max_chars`` bytes; a longer text is a slice of its own."""
-    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    """Consecutive slices of ``batch`` whose ``column``, texts or lists of words, holds about ``max_chars`` bytes (8 a word); a longer
+    text is a slice of its own."""
+    values = batch.column(column)
+    sizes = (pc.multiply(pc.list_value_length(values), 8) if pa.types.is_list(values.type) else pc.binary_length(values)).fill_null(0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > max_chars:
@@ -24,8 +26,9 @@ def slices(batch: pa.RecordBatch, column: str, max_chars: int) -> Iterator[pa.Re
         yield batch.slice(start)
 
 
-def map_arrow(df: DataFrame, schema: str, column: str, work: Callable[[pa.RecordBatch], dict], max_chars: int = 4 << 20) -> DataFrame:
-    """``df`` through ``work`` by slices of bounded size; ``work`` returns a dict of columns."""
+def map_arrow(df: DataFrame, schema: str, column: str, work: Callable[[pa.RecordBatch], dict], max_chars: int = 4 << 20, deal: bool = True) -> DataFrame:
+    """``df`` through ``work`` by slices of bounded size; ``work`` returns a dict of columns.  Only a plain scan is dealt out to more
+    partitions; with ``deal=False`` the rows stay where they are."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -39,4 +42,4 @@ def map_arrow(df: DataFrame, schema: str, column: str, work: Callable[[pa.Record
                 out = work(part)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in target], schema=target)
 
-    return spread(df).mapInArrow(run, kind)
+    return (spread(df) if deal else df).mapInArrow(run, kind)

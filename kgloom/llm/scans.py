@@ -2,16 +2,18 @@
 
 1. Page furniture is found from the page structure of each document: lines at page edges that recur from page to page (numbers
    masked, glyphs reduced to strokes), repeat the title, or count pages.
+   The text is parsed once, into a table of tokens that all later steps read.
 2. Skip-gram vectors are learned over all pages: co-occurrence counts within ``REACH`` words between the ``VECTOR_WORDS`` most frequent
    words are summed in Spark, and their shifted positive mutual information is factorised, which is the optimum of skip-gram
-   with negative sampling.  The matrix is bounded by that parameter, whatever the corpus.
+   with negative sampling.  The matrix is bounded by that parameter; it spans the space, in which every other word, however rare,
+   gets its vector from the words around all its places.
 3. Each word is linked to far more frequent words whose glyphs reduce to the same strokes (m = rn = in, d = cl, u = ii, ...), and the
-   links whose edits are plausible are kept.  Every linked word and every target has a vector of its own, from the vectors of the
-   words around all its places.  In each place the target that fits best is compared with the word as it is read, whose vector
-   leaves that place out; the correction is made only if the context does not speak for the word as read.
+   links whose edits are plausible are kept.  In each place the target that fits best is compared with the word as it is read, whose
+   vector leaves that place out; the correction is made only if the target is near and the context does not speak for the word
+   as read.
 4. A word cut at a line's end is joined if the corpus knows the joined word better than the hyphenated one.
 
-Only words that are not among the ``KNOWN_WORDS`` most frequent clean words leave the text; they meet the links in a join.
+Only words that are not among the ``KNOWN_WORDS`` most frequent clean words are looked up; they meet the links in a join.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.materialize import broadcast_if_small, cut
+from ..plans.materialize import broadcast_if_small, cut, release, spread
 from .arrow import map_arrow
 
 REACH = 3
@@ -53,8 +55,11 @@ STROKES = {
 FOREIGN = set("†|¢!$€¥þ×0123456789ﬀﬁﬂﬃﬄﬅﬆ")
 
 
+_STROKE_TABLE = str.maketrans(STROKES)
+
+
 def strokes(word: str) -> str:
-    return "".join(STROKES.get(c, c) for c in word)
+    return word.translate(_STROKE_TABLE)
 
 
 def edits(read: str, meant: str) -> list[int] | None:
@@ -101,6 +106,7 @@ _PAGE = re.compile(
 _OF = re.compile(r"\b(?:sheet|page|blatt|seite|feuille|hoja|p[aá]gina)\s+[\dlIoO|]{1,5}\s+(?:of|von|de|sur)\s+[\dlIoO|]{1,5}\s*$", re.I)
 #: A number set apart at either end of a head in capitals.
 _NUMBERED = re.compile(r"^(?:[\dlIoO|]{1,5}\s{2,}(?P<a>\D.*)|(?P<b>.*\D)\s{2,}[\dlIoO|]{1,5})$")
+_SENTENCE_END = re.compile(r"[.;,:!?]\s*$")
 _SEPARATOR = re.compile(r"^\s*(?:-{3,}|\*{3,}|_{3,})\s*$")
 
 
@@ -178,14 +184,16 @@ def furniture(lines: list[str], chunk_lines: list[int] | None) -> list[str]:
             name = (m["a"] or m["b"] or "").strip() if m else ""
             if len(name) > 3 and sum(c.isupper() for c in name) > 4 * sum(c.islower() for c in name):
                 out[i] = "furniture"
-    if not sure:  # heads in documents whose pages could not be told apart
+    if not sure:  # heads in documents whose pages could not be told apart: parts between bars or dots, in a line that opens a block
+        parts = lambda i, mark: i < n and out[i] == "text" and mark in lines[i] and len(lines[i].strip()) < 70 and not _SENTENCE_END.search(lines[i]) and not lines[i].lstrip().startswith("|")
         for i in range(1, n):
-            if out[i] == "text" and i != first and len(lines[i]) < 90 and out[i - 1] != "text" and (_key(lines[i]) == title or re.search(r"\S \| (?:confidential|draft|q\d|fy|fiscal|the )", lines[i], re.I)):
+            if out[i] != "text" or out[i - 1] == "text" or i == first or len(lines[i]) >= 90:
+                continue
+            dotted = parts(i + 1, " · ") and len(lines[i]) < 60 and not _SENTENCE_END.search(lines[i])
+            if _key(lines[i]) == title or dotted or (parts(i, " | ") and not parts(i + 1, " | ")):
                 out[i] = "furniture"
-                if i + 1 < n and out[i + 1] == "text" and " · " in lines[i + 1] and len(lines[i + 1]) < 60:
+                if dotted:
                     out[i + 1] = "furniture"
-            elif out[i] == "text" and i + 1 < n and " · draft " in lines[i + 1].lower() and len(lines[i]) < 60:
-                out[i] = out[i + 1] = "furniture"
     return out
 
 
@@ -220,23 +228,35 @@ def pdf(docs: DataFrame) -> DataFrame:
     )
 
 
-def _parsed(batch):
-    for path, text, sizes in zip(batch.column("raw_path").to_pylist(), batch.column("markdown").to_pylist(), batch.column("chunk_lines").to_pylist()):
-        lines = text.split("\n")
-        kind = furniture(lines, sizes)
-        yield path, lines, kind, tokens(lines, kind)
+PARSED = "raw_path string, furniture array<int>, line array<int>, next_line array<int>, size array<int>, w array<string>"
 
 
-def vocabulary(pages: DataFrame) -> DataFrame:
-    """``w, n``: how often each word stands whole in a line of text."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """``raw_path``, the numbers of its ``furniture`` lines and, token by token, ``line``, ``w`` and for words cut at a line's end
+    ``size`` (of the first part, else 0) and ``next_line``.  All later steps read this table; the text is parsed once."""
 
     def work(batch) -> dict:
-        count: Counter[str] = Counter()
-        for _, _, _, toks in _parsed(batch):
-            count.update(w for _, w, c in toks if w and not c)
-        return {"w": list(count), "n": list(count.values())}
+        out: dict[str, list] = {k: [] for k in ("raw_path", "furniture", "line", "next_line", "size", "w")}
+        for path, text, sizes in zip(batch.column("raw_path").to_pylist(), batch.column("markdown").to_pylist(), batch.column("chunk_lines").to_pylist()):
+            lines = text.split("\n")
+            kind = furniture(lines, sizes)
+            toks = tokens(lines, kind)
+            text_lines = [i for i in range(len(lines)) if kind[i] == "text"]
+            after = dict(zip(text_lines, text_lines[1:]))
+            out["raw_path"].append(path)
+            out["furniture"].append([i + 1 for i, x in enumerate(kind) if x == "furniture"])
+            out["line"].append([i + 1 for i, _, _ in toks])
+            out["next_line"].append([after.get(i, i) + 1 if c else 0 for i, _, c in toks])
+            out["size"].append([c for _, _, c in toks])
+            out["w"].append([w for _, w, _ in toks])
+        return out
 
-    return map_arrow(pages, "w string, n bigint", "markdown", work).groupBy("w").agg(F.sum("n").alias("n"))
+    return map_arrow(pages, PARSED, "markdown", work)
+
+
+def vocabulary(parsed_: DataFrame) -> DataFrame:
+    """``w, n``: how often each word stands whole in a line of text."""
+    return parsed_.select(F.explode(F.arrays_zip("w", "size")).alias("t")).where("t.size = 0 and t.w <> ''").groupBy("t.w").agg(F.count("*").alias("n"))
 
 
 def links(vocab: DataFrame) -> DataFrame:
@@ -256,25 +276,36 @@ def links(vocab: DataFrame) -> DataFrame:
     return both.withColumn("at", where("w", "f")).where("at is not null").select("w", "f", "n", "f_n", "at")
 
 
-def vectors(pages: DataFrame, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _codes(batch, code: dict[str, int], missing: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(words of the batch's documents in a row, their codes with gaps of ``REACH`` missing ones between documents, the places of the
+    words among the codes)."""
+    words = batch.column("w").flatten().to_pylist()
+    sizes = np.diff(batch.column("w").offsets.to_numpy())
+    flat = np.fromiter((code.get(w, missing) for w in words), np.int64, len(words))
+    at = np.arange(len(words)) + REACH * (np.repeat(np.arange(len(sizes)), sizes) + 1)
+    out = np.full(len(words) + REACH * (len(sizes) + 2), -1, np.int64)
+    out[at] = flat
+    return words, out, at
+
+
+def vectors(parsed_: DataFrame, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Input and output skip-gram vectors of ``words``, from co-occurrence counts over all pages."""
     v = len(words)
-    shared = pages.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    shared = parsed_.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
     def work(batch) -> dict:
-        number = shared.value
-        ids = np.array([x for _, _, _, toks in _parsed(batch) for x in [*(number.get(w, -1) for _, w, _ in toks), *[-1] * REACH]], dtype=np.int64)
+        ids = _codes(batch, shared.value, -1)[1]
         pair = []
         for d in range(1, REACH + 1):
             a, b = ids[:-d], ids[d:]
             ok = (a >= 0) & (b >= 0)
             pair += [a[ok] * v + b[ok], b[ok] * v + a[ok]]
-        keys, n = np.unique(np.concatenate(pair) if pair else np.empty(0, np.int64), return_counts=True)
+        keys, n = np.unique(np.concatenate(pair), return_counts=True)
         return {"pair": keys, "n": n}
 
-    rows = map_arrow(pages, "pair bigint, n bigint", "markdown", work).groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    rows = map_arrow(parsed_.select("w"), "pair bigint, n bigint", "w", work).groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most VECTOR_WORDS squared
     count = np.zeros(v * v)
-    count[rows["pair"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+    count[rows["pair"].to_numpy()] = rows["n"].to_numpy()
     count = count.reshape(v, v)
     total = max(1.0, count.sum())
     row = np.maximum(count.sum(axis=1), 1.0)
@@ -288,132 +319,163 @@ def vectors(pages: DataFrame, words: list[str]) -> tuple[np.ndarray, np.ndarray]
     return left[:, :k] * root, right[:k].T * root
 
 
-def places(around: list[int], outer: np.ndarray) -> np.ndarray:
-    """Vector of a place: the mean of the output vectors of the words around it, of length 1; zeros without any."""
-    x = outer[around].sum(axis=0) if len(around) else np.zeros(outer.shape[1])
-    size = np.linalg.norm(x)
-    return x / size if size else x
-
+def places(around: np.ndarray, outer: np.ndarray) -> np.ndarray:
+    """Vectors of places, from rows of the numbers of the context words around them (-1 where there is none): the mean output vector,
+    of length 1; zeros without any."""
+    padded = np.vstack([outer, np.zeros((1, outer.shape[1]))])
+    x = np.zeros((len(around), outer.shape[1]))
+    for column in around.T:
+        x += padded[column]
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
-def contexts(pages: DataFrame, targets: list[str], numbers: dict[str, int], outer: np.ndarray) -> dict[str, np.ndarray]:
-    """For each target the mean vector of its places over all pages."""
-    shared = pages.sparkSession.sparkContext.broadcast((frozenset(targets), numbers, outer))
 
-    def work(batch) -> dict:
-        wanted, number, vector = shared.value
-        total: dict[str, np.ndarray] = {}
-        count: Counter[str] = Counter()
-        for _, _, _, toks in _parsed(batch):
-            ids = [number.get(t[1], -1) for t in toks]
-            for p, (_, w, c) in enumerate(toks):
-                if w in wanted and not c:
-                    near = [x for x in (*ids[max(0, p - REACH) : p], *ids[p + 1 : p + 1 + REACH]) if x >= 0]
-                    if near:
-                        total[w] = total.get(w, 0) + places(near, vector)
-                        count[w] += 1
-        return {"w": list(total), "x": [v.tolist() for v in total.values()], "n": [count[w] for w in total]}
-
-    rows = map_arrow(pages, "w string, x array<double>, n bigint", "markdown", work).select("w", F.posexplode("x").alias("d", "v"), "n")
-    rows = rows.groupBy("w", "d").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).groupBy("w").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("d", "v")))["v"].alias("x"))
-    return {r.w: np.array(r.x) / r.n for r in rows.collect()}  # bounded by KNOWN_WORDS
-
-
-def favoured(place: np.ndarray, meant: np.ndarray, own: np.ndarray, n: int) -> float:
-    """How much better a place fits the word that may be meant than the word as read, in cosines from -2 to 2.  ``own`` is the sum
-    over the ``n`` places of the word as read, this one among them; it is left out, and few places weigh little."""
+def favoured(place: np.ndarray, meant: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each place how much better it fits the word that may be meant than the word as read, in cosines from -2 to 2.  ``own`` is
+    the sum over the places of the word as read, this one among them; it is left out, and few places weigh little."""
     rest = own - place + PRIOR * meant
-    size = np.linalg.norm(rest) * np.linalg.norm(meant)
-    return float(place @ meant / np.linalg.norm(meant) - place @ rest / np.linalg.norm(rest)) if size else 0.0
+    size = lambda x: np.maximum(np.linalg.norm(x, axis=1), 1e-12)
+    return (place * meant).sum(axis=1) / size(meant) - (place * rest).sum(axis=1) / size(rest)
 
 
-def findings(docs: DataFrame) -> DataFrame:
-    """``raw_path, line_no, kind, w, f, cut``: furniture lines, cut words and misread words with what they mean.
+def _known(vocab: DataFrame, linked: DataFrame) -> list[str]:
+    """The ``KNOWN_WORDS`` most frequent words that are no misreading of another."""
+    clean = vocab.where("n >= 5").join(broadcast_if_small(linked.select("w").distinct()), "w", "left_anti")
+    return [r.w for r in clean.orderBy(F.desc("n"), "w").limit(KNOWN_WORDS).collect()]
 
-    Rows given twice give findings once.  Documents without markdown, not PDF or without lines have none.
+
+def asked(parsed_: DataFrame, known: list[str], outer: np.ndarray) -> DataFrame:
+    """What is looked up, ``raw_path, line, next_line, p, role, w, size, around, x, n``:
+
+    - ``word``: each place of a word that is not known, with the context words around it;
+    - ``joined`` or ``upper`` (the second part begins in upper case) and ``hyphened``: both readings of a cut word;
+    - ``furniture``: a line;
+    - ``centre``: per batch, the sum of the vectors of the ``n`` places of a known word.
     """
-    spark = docs.sparkSession
-    pages = pdf(docs)
-    vocab = cut(vocabulary(pages), "vocabulary")
-    linked = cut(links(vocab), "links")
-    clean = vocab.join(linked.select("w").distinct(), "w", "left_anti")
-    known = [r.w for r in clean.orderBy(F.desc("n"), "w").limit(KNOWN_WORDS).where("n >= 5").collect()]  # bounded by KNOWN_WORDS
-    _, v = vectors(pages, known[:VECTOR_WORDS])
-    shared = spark.sparkContext.broadcast((frozenset(known), {w: i for i, w in enumerate(known[:VECTOR_WORDS])}))
+    spark = parsed_.sparkSession
+    v = len(outer)
+    # context words have the numbers below v, other known words those from v on
+    shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(known)}, known, outer))
 
     def work(batch) -> dict:
-        good, number = shared.value
-        out: dict[str, list] = {k: [] for k in ("raw_path", "line", "next_line", "role", "w", "size", "around")}
+        code, names, out_vectors = shared.value
+        words, ids, at = _codes(batch, code, -1)
+        near = np.where(ids < v, ids, -1)
+        offsets = batch.column("w").offsets.to_numpy()
+        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        column = lambda k: batch.column(k).flatten().to_numpy(zero_copy_only=False)
+        line, following, size = column("line"), column("next_line"), column("size")
+        shifts = np.array([d for d in range(-REACH, REACH + 1) if d])
+        paths = batch.column("raw_path").to_pylist()
+        out: dict[str, list] = {k: [] for k in ("raw_path", "line", "next_line", "p", "role", "w", "size", "around", "x", "n")}
 
         def put(*values) -> None:
             for k, x in zip(out, values):
                 out[k].append(x)
 
-        for path, lines, kind, toks in _parsed(batch):
-            for i, x in enumerate(kind):
-                if x == "furniture":
-                    put(path, i + 1, 0, "furniture", "", 0, [])
-            text = [i for i in range(len(lines)) if kind[i] == "text"]
-            after = dict(zip(text, text[1:]))
-            for p, (i, w, c) in enumerate(toks):
-                if not w or (not c and w in good):
-                    continue
-                near = [number[t[1]] for t in (*toks[max(0, p - REACH) : p], *toks[p + 1 : p + 1 + REACH]) if t[1] in number]
-                if not c:
-                    put(path, i + 1, 0, "word", w, 0, near)
-                    continue
-                upper = w.endswith("\1")
-                a, _, b = w.rstrip("\1").partition("\0")
-                put(path, i + 1, after.get(i, i) + 1, "upper" if upper else "joined", a + b, c, near)
-                put(path, i + 1, after.get(i, i) + 1, "hyphened", f"{a}-{b}", c, near)
+        for path, rows in zip(paths, batch.column("furniture").to_pylist()):
+            for i in rows:
+                put(path, i, 0, 0, "furniture", "", 0, None, None, 0)
+        own = ids[at]
+        filled = np.fromiter((bool(w) for w in words), bool, len(words))
+        for i in np.flatnonzero(filled & ((own < 0) | (size > 0))).tolist():
+            around = near[at[i] + shifts]
+            around = around[around >= 0].tolist()
+            w, path, p = words[i], paths[doc[i]], i - int(offsets[doc[i]] - offsets[0])
+            if not size[i]:
+                put(path, line[i], 0, p, "word", w, 0, around, None, 0)
+                continue
+            upper = w.endswith("\1")
+            a, _, b = w.rstrip("\1").partition("\0")
+            put(path, line[i], following[i], p, "upper" if upper else "joined", a + b, size[i], around, None, 0)
+            put(path, line[i], following[i], p, "hyphened", f"{a}-{b}", size[i], around, None, 0)
+        # sums over the places of each known word, some at a time
+        total = np.zeros((len(names), out_vectors.shape[1]))
+        count = np.zeros(len(names), np.int64)
+        spots = np.flatnonzero(filled & (own >= 0) & (size == 0))
+        for some in np.array_split(spots, max(1, len(spots) // 50_000)):
+            x = places(near[at[some][:, None] + shifts], out_vectors)
+            some = some[x.any(axis=1)]
+            np.add.at(total, own[some], x[x.any(axis=1)])
+            count += np.bincount(own[some], minlength=len(names))
+        for k in np.flatnonzero(count).tolist():
+            put("", 0, 0, 0, "centre", names[k], 0, None, total[k].astype(np.float32), count[k])
         return out
 
-    asked = cut(
-        map_arrow(pages, "raw_path string, line bigint, next_line bigint, role string, w string, size int, around array<int>", "markdown", work).dropDuplicates(["raw_path", "line", "role", "w"]),
-        "asked",
-    )
-    words = asked.where("role <> 'furniture'")
+    schema = "raw_path string, line bigint, next_line bigint, p bigint, role string, w string, size int, around array<int>, x array<float>, n bigint"
+    return map_arrow(parsed_, schema, "w", work)
 
-    numbers = shared.value[1]
-    # without the mean, so that unlike words have cosines about 0
-    outer = v - v.mean(axis=0) if len(v) else v
-    targets = [r.f for r in linked.groupBy("f").agg(F.max("f_n").alias("n")).orderBy(F.desc("n"), "f").limit(KNOWN_WORDS).collect()]
-    meant = spark.sparkContext.broadcast((contexts(pages, targets, numbers, outer), outer))
 
-    @F.pandas_udf("array<double>")
-    def place(around: pd.Series) -> pd.Series:
-        vector = meant.value[1]
-        return pd.Series([places(list(x), vector).tolist() for x in around])
+def _sums(x: str, size: int) -> Column:
+    """Sum of arrays, by element."""
+    return F.array(*[F.sum(F.col(x)[i]) for i in range(size)])
+
+
+def findings(docs: DataFrame) -> DataFrame:
+    """``raw_path, line_no, kind, w, f, cut``: furniture lines, cut words and misread words with what they mean.
 
-    @F.pandas_udf("double")
-    def fit(f: pd.Series, x: pd.Series) -> pd.Series:
-        centre = meant.value[0]
-        return pd.Series([float(np.dot(x_, centre[w])) if w in centre and len(x_) else 0.0 for w, x_ in zip(f, x)])
+    Rows given twice give findings once.  Documents without markdown, not PDF or without lines have none.
+    """
+    spark = docs.sparkSession
+    parsed_ = cut(parsed(pdf(docs)), "parsed")
+    vocab = cut(vocabulary(parsed_), "vocabulary")
+    linked = cut(links(vocab), "links")
+    known = _known(vocab, linked)
+    _, outer = vectors(parsed_, known[:VECTOR_WORDS])
+    # without the mean, so that unlike words have cosines about 0
+    outer = outer - outer.mean(axis=0) if len(outer) else outer
+    rows = cut(asked(parsed_, known, outer), "asked")
+    release(parsed_)
+    words = rows.where("role not in ('furniture', 'centre')").select("raw_path", "line", "next_line", "p", "role", "w", "size", "around").dropDuplicates(["raw_path", "line", "p", "role", "w"])
 
-    @F.pandas_udf("double")
-    def gain(f: pd.Series, x: pd.Series, own: pd.Series, places_: pd.Series) -> pd.Series:
-        centre = meant.value[0]
-        return pd.Series([favoured(np.array(a), centre[w], np.array(o), n) if w in centre and o is not None and len(o) else 0.0 for w, a, o, n in zip(f, x, own, places_)])
+    vector = spark.sparkContext.broadcast(outer)
+    width = outer.shape[1]
+
+    @F.pandas_udf("array<float>")
+    def place(around: pd.Series) -> pd.Series:
+        grid = np.full((len(around), 2 * REACH), -1)
+        for i, x in enumerate(around):
+            grid[i, : len(x)] = x
+        return pd.Series(list(places(grid, vector.value).astype(np.float32)))
+
+    @F.pandas_udf("fit double, gain double")
+    def judged(x: pd.Series, meant: pd.Series, own: pd.Series) -> pd.DataFrame:
+        zero = np.zeros(width)
+        stack = lambda s: np.vstack([zero if v is None else v for v in s]).astype(np.float64) if len(s) else np.zeros((0, width))
+        a, b = stack(x), stack(meant)
+        told = b.any(axis=1) & a.any(axis=1)
+        return pd.DataFrame({"fit": np.where(told, (a * b).sum(axis=1), 0.0), "gain": np.where(told, favoured(a, b, stack(own)), 0.0)})
+
+    suspects = broadcast_if_small(linked.select("w").distinct())
+    placed = cut(words.join(suspects, "w", "left_semi").withColumn("x", place("around")).drop("around"), "placed")
+    # vectors of the words as read, and of those that may be meant: known ones are summed already, others from their own places
+    meant = broadcast_if_small(linked.select(F.col("f").alias("w")).distinct())
+    one = F.lit(1).cast("bigint").alias("n")
+    rare = words.where("role = 'word'").join(meant, "w", "left_semi").select("w", F.lit("meant").alias("as"), place("around").alias("x"), one)
+    known_ = rows.where("role = 'centre'").join(meant, "w", "left_semi").select("w", F.lit("meant").alias("as"), "x", "n")
+    every = placed.select("w", F.lit("read").alias("as"), "x", one).unionByName(rare).unionByName(known_).where(F.exists("x", lambda v: v != 0))
+    sums = cut(every.groupBy("w", "as").agg(_sums("x", width).alias("x"), F.sum("n").alias("n")), "sums")
+    own = sums.where(F.col("as") == "read").select("w", F.col("x").alias("own"))
+    centre = sums.where(F.col("as") == "meant").select(F.col("w").alias("f"), F.transform("x", lambda v: v / F.col("n")).alias("c"))
 
     # the link that fits best: closeness of glyphs, then the context, then frequency
-    placed = cut(words.join(broadcast_if_small(linked), "w").withColumn("x", place("around")), "placed")
-    once = placed.dropDuplicates(["raw_path", "line", "role", "w"]).select("w", "x")
-    own = once.select("w", F.posexplode("x").alias("d", "v")).groupBy("w", "d").agg(F.sum("v").alias("v"), F.count("*").alias("m")).groupBy("w").agg(F.max("m").alias("m"), F.array_sort(F.collect_list(F.struct("d", "v")))["v"].alias("own"))
-    scored = placed.withColumn("score", fit("f", "x") - 2.0 * F.size("at") + 0.3 * F.log("f_n"))
-    best = scored.groupBy("raw_path", "line", "role", "w").agg(F.max_by(F.struct("f", "f_n", "at", "size", "next_line", "x"), F.struct("score", "f")).alias("b")).select("raw_path", "line", "role", "w", "b.*")
-    best = best.join(broadcast_if_small(cut(own, "own")), "w", "left").withColumn("gain", gain("f", "x", "own", "m")).withColumn("fit", fit("f", "x"))
+    candidates = placed.join(broadcast_if_small(linked), "w").join(broadcast_if_small(centre), "f", "left").join(broadcast_if_small(own), "w", "left")
+    scored = candidates.withColumn("j", judged("x", "c", "own")).drop("x", "c", "own").withColumn("score", F.col("j.fit") - 2.0 * F.size("at") + 0.3 * F.log("f_n"))
+    best = scored.groupBy("raw_path", "line", "p", "role", "w").agg(F.max_by(F.struct("f", "f_n", "at", "size", "next_line", "j"), F.struct("score", "f")).alias("b")).select("raw_path", "line", "p", "role", "w", "b.*")
     # a word with a glyph that no word has is misread whatever stands around it; any other only if the word meant suits the place
     # and the word as read suits it no better
     foreign = F.col("w").rlike("[" + "".join(sorted(FOREIGN - set("|$!"))) + r"|$!]")
-    best = cut(best.where(foreign | ((F.col("gain") >= -MARGIN) & (F.col("fit") >= 0))).drop("x", "own", "m", "gain", "fit"), "best")
+    best = cut(best.where(foreign | ((F.col("j.gain") >= -MARGIN) & (F.col("j.fit") >= 0))).drop("j"), "best")
     misread = (
         best.where("role in ('word', 'joined')")
-        .withColumn("p", F.explode("at"))
-        .select("raw_path", F.when((F.col("size") > 0) & (F.col("p") >= F.col("size")), F.col("next_line")).otherwise(F.col("line")).alias("line_no"), F.lit("misread").alias("kind"), "w", "f", "size")
+        .withColumn("at", F.explode("at"))
+        .select("raw_path", F.when((F.col("size") > 0) & (F.col("at") >= F.col("size")), F.col("next_line")).otherwise(F.col("line")).alias("line_no"), F.lit("misread").alias("kind"), "w", "f", "size")
     )
     # joined or hyphenated: what the corpus has more often, counting what a misreading stands for
-    cuts = words.where("role <> 'word'").select("raw_path", "line", "role", "w", "size").join(broadcast_if_small(vocab), "w", "left").join(best.select("raw_path", "line", "role", "w", "f_n", "f"), ["raw_path", "line", "role", "w"], "left")
+    place_of = ["raw_path", "line", "p"]
+    cuts = words.where("role <> 'word'").select(*place_of, "role", "w", "size").join(broadcast_if_small(vocab), "w", "left").join(best.where("role <> 'word'").select(*place_of, "role", "w", "f_n", "f"), [*place_of, "role", "w"], "left")
     seen = F.greatest(F.coalesce("n", F.lit(0)), F.coalesce("f_n", F.lit(0)))
-    decided = cuts.groupBy("raw_path", "line").agg(
+    decided = cuts.groupBy(*place_of).agg(
         F.max(F.when(F.col("role") != "hyphened", seen)).alias("joined"),
         F.max(F.when(F.col("role") == "hyphened", seen)).alias("hyphened"),
         F.max(F.when(F.col("role") != "hyphened", F.coalesce("f", "w"))).alias("f"),
@@ -422,7 +484,7 @@ def findings(docs: DataFrame) -> DataFrame:
         F.bool_or(F.col("role") == "upper").alias("upper"),
     )
     hyphen = decided.where((F.col("joined") > F.col("hyphened")) | ((F.col("joined") == F.col("hyphened")) & ~F.col("upper"))).select("raw_path", F.col("line").alias("line_no"), F.lit("hyphen").alias("kind"), "w", "f", "size")
-    plain = asked.where("role = 'furniture'").select("raw_path", F.col("line").alias("line_no"), F.lit("furniture").alias("kind"), F.lit(None).cast("string").alias("w"), F.lit(None).cast("string").alias("f"), "size")
+    plain = rows.where("role = 'furniture'").select("raw_path", F.col("line").alias("line_no"), F.lit("furniture").alias("kind"), F.lit(None).cast("string").alias("w"), F.lit(None).cast("string").alias("f"), "size").distinct()
     # a misreading in a word that keeps its hyphen is no joined word's
     return plain.unionByName(hyphen).unionByName(misread)
 
@@ -489,14 +551,17 @@ def repaired(docs: DataFrame) -> DataFrame:
     """``raw_path, text``: every PDF document as continuous paragraphs; a document without noise keeps its words."""
     found_ = findings(docs)
     per = cut(found_.groupBy("raw_path").agg(F.collect_set(F.struct("line_no", "kind", "w", "f")).alias("notes")), "notes")
-    joined = pdf(docs).join(broadcast_if_small(per), "raw_path", "left")
+    joined = spread(pdf(docs)).join(broadcast_if_small(per), "raw_path", "left")
 
     def work(batch) -> dict:
         out = []
-        for (path, lines, kind, _), notes in zip(_parsed(batch), batch.column("notes").to_pylist()):
+        for text, notes in zip(batch.column("markdown").to_pylist(), batch.column("notes").to_pylist()):
             notes = notes or []
+            lines = text.split("\n")
+            dropped = {x["line_no"] for x in notes if x["kind"] == "furniture"}
+            kind = ["furniture" if i in dropped else "blank" if not x.strip() or _SEPARATOR.match(x) else "text" for i, x in enumerate(lines, 1)]
             fixes = {(x["line_no"], x["w"]): x["f"] for x in notes if x["kind"] == "misread"}
             out.append(reflow(lines, kind, {x["line_no"]: x["f"] for x in notes if x["kind"] == "hyphen"}, fixes))
         return {"raw_path": batch.column("raw_path"), "text": out}
 
-    return map_arrow(joined, "raw_path string, text string", "markdown", work).groupBy("raw_path").agg(F.max("text").alias("text"))
+    return map_arrow(joined, "raw_path string, text string", "markdown", work, deal=False).groupBy("raw_path").agg(F.max("text").alias("text"))

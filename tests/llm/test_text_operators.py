@@ -362,7 +362,7 @@ def test_scan_findings(spark):
     assert scans.found(df.limit(0)).count() == 0
 
 
-def test_context_decides_on_rare_words(spark):
+def test_context_decides_on_rare_words(spark, monkeypatch):
     # "dean" is a stroke twin of "clean", eight times as frequent, with other words around it
     meta = {"extension": ".pdf"}
     rows = [(f"a{i}", "they keep the water clean for every village there", None, meta) for i in range(160)]
@@ -373,6 +373,25 @@ def test_context_decides_on_rare_words(spark):
     text = {r.raw_path: r.text for r in scans.repaired(df).collect()}
     assert text["one"] == "they keep the water clean for every village there our faculty elected a dean of science last spring"
     assert text["b0"] == rows[160][1]
+    # without the vectors every "dean" would be taken for "clean"
+    learned = scans.vectors
+    monkeypatch.setattr(scans, "vectors", lambda *a: tuple(np.zeros_like(x) for x in learned(*a)))
+    assert scans.found(df).count() == 14
+
+
+def test_two_places_in_one_line_are_told_apart(spark):
+    meta = {"extension": ".pdf"}
+    rows = [(f"a{i}", "they keep the water clean for every village there", None, meta) for i in range(160)]
+    rows += [(f"b{i}", "our faculty elected a dean of science last spring", None, meta) for i in range(12)]
+    line = "our faculty elected a dean of science last spring they keep the water dean for every village there"
+    df = spark.createDataFrame([*rows, ("one", line, None, meta), ("one", line, None, meta)], SCAN)
+    notes = scans.findings(df).where("raw_path = 'one'").collect()
+    assert [(x.line_no, x.kind, x.w, x.f) for x in notes] == [(1, "misread", "dean", "clean")]
+
+
+def test_heads_where_pages_cannot_be_told_apart():
+    text = ["Yearly Report", "", "the first part of the text goes on and", "on", "", "Acme Grid | Any Words", "and ends here. A | table | row", "", "| a | b |", "| c | d |", "", "Acme Grid", "Part 3 · Copy 2", "more text here."]
+    assert [i for i, k in enumerate(scans.furniture(text, None)) if k == "furniture"] == [5, 11, 12]
 
 
 def test_glyph_edits():
@@ -384,6 +403,6 @@ def test_glyph_edits():
 def test_vectors_bring_words_of_like_contexts_together(spark):
     rows = [(f"v{i}", f"the {a} was sold in {b} by the firm", None, {"extension": ".pdf"}) for i, (a, b) in enumerate([(x, y) for x in ("pump", "valve") for y in ("spring", "autumn")] * 20)]
     names = ["the", "pump", "valve", "was", "sold", "in", "spring", "autumn", "by", "firm"]
-    u, v = scans.vectors(scans.pdf(spark.createDataFrame(rows, SCAN)), names)
+    u, v = scans.vectors(scans.parsed(scans.pdf(spark.createDataFrame(rows, SCAN))), names)
     cosine = lambda a, b: float(u[names.index(a)] @ u[names.index(b)] / ((u[names.index(a)] ** 2).sum() * (u[names.index(b)] ** 2).sum()) ** 0.5)
     assert cosine("pump", "valve") > cosine("pump", "spring") and cosine("spring", "autumn") > cosine("spring", "was")
