@@ -63,6 +63,10 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = 2 << 20):
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores: a table of fewer row groups than that is dealt out evenly before
-    work that costs more than the deal.  Where the scan has partitions enough, nothing is moved."""
+    work that costs more than the deal.  Where the scan has partitions enough, nothing is moved; nor is a frame that joins, groups
+    or deals out itself, whose partitions are not known without running it."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if any(x in plan for x in ("Join", "Aggregate", "Exchange", "Window", "Sort", "MapInArrow")):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
