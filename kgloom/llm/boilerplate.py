@@ -1,60 +1,52 @@
 """Main content of web pages, by line-block distribution.
 
-Markup is stripped from each line and the text that can be body is weighed: its length, or nothing where the line is a link, a
-control, a notice in the voice of the site, or a line that recurs over the pages of its host.  Sums of the weights over sliding
-windows of lines surge where the body begins and dive where it ends; the text between them, with headings, lists, tables and
-captions that touch it, is the article.  Lines without weight between surge and dive are cut out of it.
+Markup is stripped from each line and the text that can be body is weighed.  Sums of the weights over sliding windows of lines surge
+where the body begins and dive where it ends; the text between them, with headings, lists, tables and captions that touch it, is
+the article.  Lines without weight between surge and dive are cut out of it.
 
-Recurrence is counted over all pages: hashes of each page's distinct lines (numbers masked), with partial sums before the
-shuffle, so a host that holds a third of all pages is one counter per line.
+What can be body is learned from the distribution itself, over all pages: for each phrase, how often it stands in a dense place, one
+with much text in the long lines around it.  The phrases of notices, menus, teasers and company notes stand apart from the text,
+wherever they recur, so a line whose phrases are rarely in dense places weighs nothing.  Short lines that recur on many pages and
+are never a title are labels of the site, and lines that recur over the pages of a host are part of its menus.  There is no list
+of words.
+
+Counts have partial sums before the shuffle, so a host that holds a third of all pages is one counter per line.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.materialize import broadcast_if_small, cut
+from ..plans.materialize import broadcast_if_small, cut, release, spread
 from .arrow import map_arrow
 
 WINDOW = 3  # lines of a block
-SURGE = 60  # characters of body text in a block that open a body
+SURGE = 100  # characters of body text in a block that open a body
 MIN_PAGES, MIN_SHARE = 3, 0.05  # a line recurs on a host from so many pages and this share of its pages on
+REACH, LONG, DENSE = 3, 60, 200  # a place is dense if so many lines on either side hold so many characters in lines that long
+PHRASES = 50_000  # phrases in the model, the most frequent ones; bounds the list sent to workers
+DIVE = 60  # characters in a block below which a body ends
+PRIOR = 2.0  # occurrences by which a phrase's share of dense places is drawn to that of all phrases
+FURNITURE = -0.1  # a line whose phrases have mean log-odds so far below those of all phrases is furniture
+BARE = -1.4  # the same for a short line
+WHOLE_WORDS = 8  # lines of up to so many words are phrases as a whole
+LABEL_PAGES, LABEL_WORDS = 10, 5  # a line of up to so many words on so many pages, never a title, is a label of the site
 
-# Words of site furniture in the four languages of the corpus, in natural order.
-_UI = re.compile(
-    r"""^(?:menu|search|suche|buscar|rechercher|home|login|log\ in|sign\ in|sign\ up|register|subscribe|accept|accept\ all|decline|reject|settings|allow\ all|manage\ preferences
-    |ok|got\ it|ok,\ got\ it|close|print|e-?mail|share|share\ this\ page|copy\ link|advertisement|anzeige|publicit[eé]|publicidad|article\ continues\ below|skip\ to\ content|back\ to\ top|to\ top
-    |nach\ oben|seitenanfang|haut\ de\ page|volver\ arriba|accessibility\ statement|newsroom|configurar|aceptar|aceptar\ todo|rechazar|accepter|tout\ accepter|refuser|param[eè]tres|akzeptieren|alle\ akzeptieren|ablehnen|einstellungen
-    |drucken|teilen|imprimir|compartir|imprimer|partager|anmelden|\d+\s+(?:comments?|kommentare?|commentaires?|comentarios?)|enter\ your\ e-?mail\ address|unsubscribe\ whenever\ you\ like\.?)$""",
-    re.I | re.X,
-)
-_RELATED = re.compile(
-    r"""^(?:related(?:\ (?:articles?|stories|posts|pages))?|popular\ now|most\ read|trending(?:\ now)?|you\ may\ also\ like|in\ this\ section|latest\ (?:filings|news|articles|stories)|more\ from\ .{1,40}|read\ (?:more|next)|recommended(?:\ for\ you)?|see\ also
-    |verwandte\ artikel|mehr\ zum\ thema|meistgelesen|das\ k[oö]nnte\ sie\ auch\ interessieren|articles\ (?:li[eé]s|similaires)|[àa]\ lire\ aussi|les\ plus\ lus|art[ií]culos\ relacionados|lo\ m[aá]s\ le[ií]do|tambi[eé]n\ te\ puede\ interesar|en\ esta\ secci[oó]n|dans\ cette\ rubrique|in\ diesem\ bereich)$""",
-    re.I | re.X,
-)
-_LEGAL = re.compile(
-    r"""(?:^©|\(c\)\ \d{4}|\ball\ rights\ reserved\b|alle\ rechte\ vorbehalten|tous\ droits\ r[eé]serv[eé]s|todos\ los\ derechos\ reservados|^registered\ in\b|\bwithout\ warranty\b|\btrademarks?\ belong|\bforward-looking\b|^site\ version\b
-    |privacy\ policy|terms\ of\ use|\bimprint\b|\bimpressum\b|datenschutz|mentions\ l[eé]gales|aviso\ legal|^follow\ us|^folgen\ sie|^suivez|^s[ií]guenos|^tags?:|^schlagw[oö]rter|^mots-cl[eé]s|^etiquetas|^filed\ under
-    |^listen\ to\ this|^sign\ in\ to\b|^call\ our\b|^stay\ informed|^never\ miss|^subscribe\ to\b|^please\ enable\b)""",
-    re.I | re.X,
-)
-#: The site speaking to its reader, or of itself.
-_VOICE = re.compile(
-    r"\b(?:you|your|we|our|us|please|this (?:site|page|website)|votre|vos|vous|nous|notre|nos|ce site|ihre?[mnrs]?|uns|unsere?[mnrs]?|wir|diese (?:seite|website)|su navegador|usted|nuestr[oa]s?|utilizamos|usamos|este sitio|esta web|tu)\b",
-    re.I,
-)
-_COOKIE = re.compile(r"\bcookies?\b|\bconsent\b|\bbrowser\b|\bnavegador\b|\bdatos\b|\bdonn[ée]es\b|\bdaten\b", re.I)
 _ADDRESS = re.compile(r"^[^,.:;!?]{2,50},\s+[^\W\d]+\.?\s+\d{1,6},\s+[^,.:;!?]{2,40}$")
-_READ = re.compile(r"\(\s*\d+\s*min(?:\.|utes?)?(?:\s+(?:read|lesezeit|de lecture|de lectura))?\s*\)\s*$", re.I)
+#: One word, a colon and short parts without figures.
+_TAGS = re.compile(r"^[^\W\d_]+(?:-[^\W\d_]+)?\s?:\s*[^,.:;!?\d]{2,40}(?:,\s*[^,.:;!?\d]{2,40})+$")
+#: A reading time at the end of a line.
+_READ = re.compile(r"\(\s*\d+\s*min\b[^()]{0,20}\)\s*$", re.I)
 _LINK = re.compile(r"!?\[([^\]]*)\](?:\([^)]*\))?")
 _HEADING = re.compile(r"^\s*#{1,6}\s+")
 _ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
 _PROSE_END = re.compile(r"[.!?…:][\"”’»)\]]*\s*$")
 _WORD = re.compile(r"[^\W_]+")
+_TERM = re.compile(r"[^\W\d_]+|\d+")
 _PARTS = re.compile(r"\s*(?:\||·|›|»|\s>\s|\s/\s)\s*")
 
 
@@ -71,58 +63,94 @@ def _menu_row(text: str) -> bool:
     return len(parts) >= 2 and not text.startswith("|") and all(len(_WORD.findall(p)) <= 4 for p in parts[:-1]) and not any(c.isdigit() for p in parts[:-1] for c in p) and not _PROSE_END.search(text)
 
 
-def kinds(lines: list[str], recurring: set[int], title: str | None) -> list[str]:
-    """For each line: blank, prose, mark (heading, list item, table, caption), short, teaser, related, menu (a short line that
-    recurs on the host) or noise."""
-    out = []
+def phrases(line: str) -> set[str]:
+    """The words, word pairs and, if it is short, the whole of a line, in lower case, numbers masked."""
+    words = ["#" if w.isdigit() else w for w in _TERM.findall(strip(line).lower())]
+    out = {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
+    if 0 < len(words) <= WHOLE_WORDS:
+        out.add("\n" + " ".join(words))
+    return out
+
+
+def density(lines: list[str]) -> list[int]:
+    """For each line how many characters the long lines around it hold, up to ``REACH`` lines before and after it."""
+    upto = [0]
+    sizes = [n if (n := len(strip(x))) >= LONG else 0 for x in lines]
+    for n in sizes:
+        upto.append(upto[-1] + n)
+    return [upto[min(len(lines), i + REACH + 1)] - upto[max(0, i - REACH)] - sizes[i] for i in range(len(lines))]
+
+
+def score(line: str, model: dict[str, float]) -> float:
+    """Mean log-odds that the line's phrases stand in dense places, 0 for the mean of all phrases; phrases that the model does not
+    hold take no part."""
+    known = [model[x] for x in phrases(line) if x in model]
+    return sum(known) / len(known) if known else 0.0
+
+
+def whole(line: str) -> str:
+    """The phrase that stands for a whole line."""
+    return "\n" + " ".join("#" if w.isdigit() else w for w in _TERM.findall(strip(line).lower()))
+
+
+def kinds(lines: list[str], recurring: set[int], title: str | None, model: dict[str, float], labels: dict[str, bool] = {}) -> tuple[list[str], list[float]]:
+    """For each line its kind: blank, text, mark (heading, list item, table, caption), short, teaser, menu (a short line that recurs on
+    the host) or noise; and its weight, the characters of body text that it holds."""
+    out, weight = [], []
     for no, line in enumerate(lines, 1):
         raw = line.strip()
-        if not raw:
-            out.append("blank")
-            continue
         text = strip(raw)
         words = len(_WORD.findall(text))
         linked = sum(len(m.group(1)) for m in _LINK.finditer(raw))
-        low = text.strip("[] ").rstrip(":")
-        if title and text == title.strip():
-            out.append("title")
-        elif _RELATED.match(low):
-            out.append("related")
-        elif _UI.match(low) or _LEGAL.search(text) or _ADDRESS.match(text):
-            out.append("noise")
-        elif _READ.search(text) or raw[0] in "←→" or raw[-1] in "←→":
-            out.append("teaser")
-        elif linked and linked >= 0.8 * max(1, len(text)):
-            out.append("teaser")
-        elif not words:
-            out.append("mark" if raw.startswith("|") else "noise")
+        marked = bool(_HEADING.match(line)) or raw.startswith("**") or raw.startswith(">")
+        kind = "short"
+        if not raw:
+            kind = "blank"
+        elif title and text == title.strip():
+            kind = "title"
+        elif _READ.search(text) or raw[0] in "←→" or raw[-1] in "←→" or (linked and linked >= 0.8 * max(1, len(text))):
+            kind = "teaser"
         elif raw.startswith("|"):
-            out.append("mark")
-        elif _VOICE.search(text) and (_COOKIE.search(text) or len(text) < 200):
-            out.append("noise")
-        elif _menu_row(text):
-            out.append("noise")
-        elif words >= 6 and _PROSE_END.search(text):
-            out.append("noise" if no in recurring and words < 10 else "prose")
-        elif _HEADING.match(line) or raw.startswith("**") or raw.startswith(">"):
-            out.append("mark")
-        elif no in recurring and words <= 8 and "|" not in raw:
-            out.append("menu")
-        elif raw.startswith(("- ", "+ ", "• ")) or any(c.isdigit() for c in text) or "," in text or ":" in text:
-            out.append("prose" if words >= 12 else "mark")
-        elif words >= 12:
-            out.append("prose")
+            kind = "mark"
+        elif not words or _ADDRESS.match(text) or _menu_row(text):
+            kind = "noise"
         else:
-            out.append("short")
-    return out
-
-
-def article(markdown: str | None, recurring: set[int] = frozenset(), title: str | None = None) -> list[bool]:
+            odds = score(raw, model)
+            if odds < (FURNITURE if words > 8 or _PROSE_END.search(text) else BARE) and not (marked or raw.startswith(("- ", "+ ", "• "))):
+                kind = "noise"
+            elif words >= 12 or (words >= 6 and _PROSE_END.search(text)):
+                kind = "noise" if no in recurring and words < 10 else "text"
+            elif words <= LABEL_WORDS and not marked and ":" not in text and "|" not in text and whole(raw) in labels:
+                kind = "label"
+            elif _TAGS.match(text) and not marked:
+                kind = "noise"
+            elif marked:
+                kind = "mark"
+            elif no in recurring and words <= 8 and "|" not in raw:
+                kind = "menu"
+            elif raw.startswith(("- ", "+ ", "• ")) or any(c.isdigit() for c in text) or "," in text or ":" in text:
+                kind = "mark"
+        out.append(kind)
+        weight.append(float(len(text)) if kind == "text" else 0.5 * len(text) if kind in ("mark", "short") and not raw.startswith("|") else 0.0)
+    # the head of a list of teasers is part of it; a label above such a list, or alone, is furniture
+    full = [i for i, k in enumerate(out) if k != "blank"]
+    for a, b in zip(full, [*full[1:], None]):
+        below = None if b is None else out[b]
+        label = out[a] == "label" or (out[a] == "mark" and bool(_HEADING.match(lines[a])) and whole(lines[a]) in labels)
+        head = label or (out[a] in ("short", "menu", "noise", "mark") and len(_WORD.findall(lines[a])) <= LABEL_WORDS and not lines[a].lstrip().startswith(("- ", "|")))
+        if head and (below == "teaser" or (label and below in ("short", "title"))):
+            out[a] = "related"
+        elif out[a] == "label":
+            out[a] = "menu" if labels[whole(lines[a])] else "noise"
+    return out, weight
+
+
+def article(markdown: str | None, recurring: set[int] = frozenset(), title: str | None = None, model: dict[str, float] | None = None, labels: dict[str, bool] | None = None) -> list[bool]:
     """For each line of ``markdown`` whether it belongs to the article; blank lines do not."""
     if not markdown:
         return []
     lines = markdown.split("\n")
-    kind = kinds(lines, recurring, title)
+    kind, mass = kinds(lines, recurring, title, model or {}, labels or {})
     n = len(lines)
 
     # a row of names above rows of figures heads a table
@@ -135,7 +163,7 @@ def article(markdown: str | None, recurring: set[int] = frozenset(), title: str
     around = {full[k]: {kind[full[k - 1]], kind[full[k + 1]]} for k in range(1, len(full) - 1)}
     for i in full:
         if kind[i] == "menu":
-            kind[i] = "short" if around.get(i, {""}) <= {"prose", "mark", "title"} and not lines[i].lstrip().startswith("*") else "noise"
+            kind[i] = "short" if around.get(i, {""}) <= {"text", "mark", "title"} and not lines[i].lstrip().startswith("*") else "noise"
 
     # runs of three or more bare short lines are menus, wherever they stand; items with stars too
     i = 0
@@ -155,7 +183,7 @@ def article(markdown: str | None, recurring: set[int] = frozenset(), title: str
         last, j, titled = i, i + 1, kind[i] == "related"
         if titled and j < n and kind[j] == "blank":
             j += 1
-        while j < n and kind[j] in ("teaser", "short", "prose", "mark", "title"):
+        while j < n and kind[j] in ("teaser", "short", "text", "mark", "title"):
             if kind[j] == "teaser":
                 last = j
             elif kind[j] == "short" and titled and j - last <= 2:
@@ -164,14 +192,14 @@ def article(markdown: str | None, recurring: set[int] = frozenset(), title: str
                 break
             j += 1
         # a blurb may close the list when the block ends with it
-        if titled and last + 1 < n and kind[last + 1] == "prose" and (last + 2 >= n or kind[last + 2] == "blank") and any(kind[k] == "prose" for k in range(i, last)):
+        if titled and last + 1 < n and kind[last + 1] == "text" and (last + 2 >= n or kind[last + 2] == "blank") and any(kind[k] == "text" for k in range(i, last)):
             last += 1
         for k in range(i, last + 1):
             kind[k] = "cut"
 
-    # windows of lines: surge and dive
+    # windows of lines: the text surges where a block of lines holds enough of it, and dives where a block holds none
     full = [i for i in range(n) if kind[i] != "blank"]
-    weight = [len(strip(lines[i])) if kind[i] == "prose" else 0 for i in full]
+    weight = [mass[i] if kind[i] in ("text", "mark", "short") else 0.0 for i in full]
     block = [sum(weight[k : k + WINDOW]) for k in range(len(full))]
     keep = [False] * n
     k = 0
@@ -180,16 +208,16 @@ def article(markdown: str | None, recurring: set[int] = frozenset(), title: str
             k += 1
             continue
         end = k
-        while end < len(full) and any(weight[end : end + WINDOW]):
+        while end < len(full) and block[end] >= DIVE:
             end += 1
         # what touches the body belongs to it: the lines up to furniture on either side
         a, b = k, end
-        while a and kind[full[a - 1]] in ("mark", "short", "title", "prose"):
+        while a and kind[full[a - 1]] in ("mark", "short", "title", "text"):
             a -= 1
-        while b < len(full) and kind[full[b]] in ("mark", "short", "title", "prose"):
+        while b < len(full) and kind[full[b]] in ("mark", "short", "title", "text"):
             b += 1
         for x in range(a, b):
-            keep[full[x]] = kind[full[x]] in ("prose", "mark", "short", "title")
+            keep[full[x]] = kind[full[x]] in ("text", "mark", "short", "title")
         k = max(b, k + 1)
 
     # the title stands above the body, perhaps with a notice between them; marked structure between two bodies is body
@@ -207,7 +235,7 @@ def article(markdown: str | None, recurring: set[int] = frozenset(), title: str
             if kind[i] == "mark":
                 keep[i] = True
         # bare lines above the first body that are not its title are menus
-        head = next((i for i in range(first, n) if kind[i] in ("title", "prose") or (kind[i] == "mark" and _HEADING.match(lines[i]))), first)
+        head = next((i for i in range(first, n) if kind[i] in ("title", "text") or (kind[i] == "mark" and _HEADING.match(lines[i]))), first)
         for i in range(first, head):
             if kind[i] == "short" and not any(kind[x] == "short" for x in range(i + 1, head)) and title is None:
                 continue
@@ -223,10 +251,10 @@ def html(docs: DataFrame) -> DataFrame:
 
 
 def recurring_lines(pages: DataFrame) -> DataFrame:
-    """``raw_path, lines`` (numbers from 1) of the lines that recur over the pages of their host."""
+    """``raw_path, lines`` (numbers from 1) of the lines that recur over the pages of their host; a page given twice counts once."""
     mask = lambda x: F.xxhash64("host", F.regexp_replace(F.trim(x), "[0-9]+", "#"))
     hashed = cut(
-        pages.where("markdown is not null").select("raw_path", "host", F.transform(F.split("markdown", "\n"), lambda x: F.when((F.length(x) < 200) & (F.trim(x) != ""), mask(x))).alias("hashes")),
+        pages.where("markdown is not null").select("raw_path", "host", F.transform(F.split("markdown", "\n"), lambda x: F.when(F.trim(x) != "", mask(x))).alias("hashes")).dropDuplicates(["raw_path"]),
         "lines",
     )
     counts = hashed.select("host", F.explode(F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
@@ -236,23 +264,72 @@ def recurring_lines(pages: DataFrame) -> DataFrame:
     return at.join(broadcast_if_small(common), "h", "left_semi").groupBy("raw_path").agg(F.collect_set(F.col("no") + 1).alias("lines"))
 
 
+def learn(pages: DataFrame) -> DataFrame:
+    """``phrase, n, dense, pages, titles, heads``: over all pages, how many lines hold each phrase, how many of them stand in dense
+    places, how many pages have the phrase as a whole line (of up to ``LABEL_WORDS`` words), and as a title or a heading."""
+
+    def work(batch) -> dict:
+        count: dict[str, list[int]] = {}
+        for text, title in zip(batch.column("markdown").to_pylist(), batch.column("title").to_pylist()):
+            lines = [x for x in (text or "").split("\n") if x.strip()]
+            full: set[str] = set()
+            heads: set[str] = set()
+            for line, near in zip(lines, density(lines)):
+                own = phrases(line)
+                for x in own:
+                    c = count.setdefault(x, [0, 0, 0, 0, 0])
+                    c[0] += 1
+                    c[1] += near >= DENSE
+                own = {x for x in own if x[0] == "\n"}
+                full |= own
+                if _HEADING.match(line) or line.startswith("**"):
+                    heads |= own
+            for k, some in ((2, full), (3, phrases(title) if title else ()), (4, heads)):
+                for x in some:
+                    if x[0] == "\n":
+                        count.setdefault(x, [0, 0, 0, 0, 0])[k] += 1
+        cols = list(zip(*count.values())) if count else [()] * 5
+        return dict(zip(("phrase", "n", "dense", "pages", "titles", "heads"), [list(count), *cols]))
+
+    names = ("n", "dense", "pages", "titles", "heads")
+    rows = map_arrow(pages.select("markdown", "title"), "phrase string, " + ", ".join(f"{x} bigint" for x in names), "markdown", work)
+    return rows.groupBy("phrase").agg(*[F.sum(x).alias(x) for x in names])
+
+
+def model(counts: DataFrame) -> tuple[dict[str, float], dict[str, bool]]:
+    """(log-odds of standing in a dense place, of the ``PHRASES`` most frequent phrases; those that are labels of sites, with whether
+    they are headings elsewhere)."""
+    total = counts.agg(F.sum("n").alias("n"), F.sum("dense").alias("dense")).first()
+    base = (total.dense or 0) / total.n if total.n else 0.0
+    logit = lambda share: math.log(max(share, 1e-3) / max(1 - share, 1e-3))
+    odds, labels = {}, {}
+    for r in counts.orderBy(F.desc("n"), "phrase").limit(PHRASES).toArrow().to_pylist():  # bounded by PHRASES
+        odds[r["phrase"]] = logit((r["dense"] + PRIOR * base) / (r["n"] + PRIOR)) - logit(base)
+        if r["phrase"][0] == "\n" and r["pages"] >= LABEL_PAGES and not r["titles"]:
+            labels[r["phrase"]] = r["heads"] > 0
+    return odds, labels
+
+
 def pages_lines(docs: DataFrame) -> DataFrame:
     """``raw_path, keep, lines``: the numbers of the article's lines and of the other non-blank lines of each HTML document.
 
     A null or empty markdown has neither.  Rows given twice come out twice; other columns are dropped.
     """
     pages = html(docs)
-    marked = pages.join(broadcast_if_small(cut(recurring_lines(pages), "marked")), "raw_path", "left").select("raw_path", "markdown", "title", "lines")
+    counts = cut(learn(pages), "phrases")
+    learned = docs.sparkSession.sparkContext.broadcast(model(counts))
+    release(counts)
+    marked = spread(pages).join(broadcast_if_small(cut(recurring_lines(pages), "marked")), "raw_path", "left").select("raw_path", "markdown", "title", "lines")
 
     def work(batch) -> dict:
         kept, rest = [], []
         for text, title, lines in zip(batch.column("markdown").to_pylist(), batch.column("title").to_pylist(), batch.column("lines").to_pylist()):
-            flags = article(text, set(lines or ()), title)
+            flags = article(text, set(lines or ()), title, *learned.value)
             kept.append([i for i, f in enumerate(flags, 1) if f])
             rest.append([i for i, (f, line) in enumerate(zip(flags, (text or "").split("\n")), 1) if not f and line.strip()])
         return {"raw_path": batch.column("raw_path"), "markdown": batch.column("markdown"), "keep": kept, "cut": rest}
 
-    return map_arrow(marked, "raw_path string, markdown string, keep array<int>, cut array<int>", "markdown", work)
+    return map_arrow(marked, "raw_path string, markdown string, keep array<int>, cut array<int>", "markdown", work, deal=False)
 
 
 def main_text(docs: DataFrame) -> DataFrame:

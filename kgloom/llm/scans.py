@@ -303,7 +303,7 @@ def vectors(parsed_: DataFrame, words: list[str]) -> tuple[np.ndarray, np.ndarra
         keys, n = np.unique(np.concatenate(pair), return_counts=True)
         return {"pair": keys, "n": n}
 
-    rows = map_arrow(parsed_.select("w"), "pair bigint, n bigint", "w", work).groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most VECTOR_WORDS squared
+    rows = map_arrow(parsed_.select("w"), "pair bigint, n bigint", "w", work, deal=False).groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most VECTOR_WORDS squared
     count = np.zeros(v * v)
     count[rows["pair"].to_numpy()] = rows["n"].to_numpy()
     count = count.reshape(v, v)
@@ -403,7 +403,7 @@ def asked(parsed_: DataFrame, known: list[str], outer: np.ndarray) -> DataFrame:
         return out
 
     schema = "raw_path string, line bigint, next_line bigint, p bigint, role string, w string, size int, around array<int>, x array<float>, n bigint"
-    return map_arrow(parsed_, schema, "w", work)
+    return map_arrow(parsed_, schema, "w", work, deal=False)
 
 
 def _sums(x: str, size: int) -> Column:

@@ -306,21 +306,44 @@ META = "map<string,string>"
 PAGE = ["Home | About us | Contact", "We use cookies to keep the shop secure. You can withdraw consent.", "Accept all", "", "# Supply note", "", PROSE.strip(), "- revenue: $3 million", "| Period | revenue |", "|---|---|", "| Q1 | $3 million |", "Related articles", "Carbon ledger (3 min read)", "Price floor (4 min read)", PROSE.strip(), "Tags: one, two", "Back to top", "© 2030 Acme Works. All rights reserved."]
 
 
-def test_article_lines(spark):
-    kept = boilerplate.article("\n".join(PAGE), frozenset(), "Supply note")
-    assert [i for i, k in enumerate(kept) if k] == [4, 6, 7, 8, 9, 10, 14]
-    assert boilerplate.article(None) == [] and boilerplate.article("Menu\nSearch") == [False, False]
+def site_pages():
+    """Pages of other hosts that share the ways of sites, but not their words, with ``PAGE``."""
+    r, out = random.Random(3), []
+    names = ["Varnhold", "Norvale", "Ildria", "Lowmere", "Tirvane", "Brasmont"]
+    for i in range(40):
+        body = [f"The {r.choice(names)} office named {r.choice(names)} as the main driver of the change in {2000 + k} and expected it to rise again before the end of the year." for k in range(8)]
+        page = [*PAGE[:4], f"# Item {i}", "", *body[:4], *PAGE[11:14], *body[4:], *PAGE[15:]]
+        out.append((f"s{i}", "\n".join(page), {"extension": ".html", "url": f"https://h{i}.example/x", "title": f"Item {i}"}))
+    return out
+
+
+def test_article_of_one_page():
+    assert boilerplate.article(None) == [] and boilerplate.article("Menu\nSearch") == [False, False] and boilerplate.article("") == []
+    # the block decides: a text line alone is a body only if it is long enough, or another line of its block is
+    line = "Eight words or a few more make up this line."
+    assert boilerplate.article(line) == [False]
+    assert boilerplate.article("\n".join([line] * 4)) == [True] * 4
 
 
-def test_boilerplate_frames(spark):
+def test_boilerplate_frames(spark, monkeypatch):
     meta = {"extension": ".html", "url": "https://h.example/x", "title": "Supply note"}
     rows = [("a", "\n".join(PAGE), meta), ("a", "\n".join(PAGE), meta), ("b", None, meta), ("c", "", meta), ("d", "x", {"extension": ".pdf"}), ("e", "y", None), ("f", LONG, {"extension": ".html"})]
-    df = spark.createDataFrame([(*r, 1, 2) for r in rows], f"raw_path string, markdown string, metadata {META}, lines int, keep int")
+    df = spark.createDataFrame([(*r, 1, 2) for r in [*rows, *site_pages()]], f"raw_path string, markdown string, metadata {META}, lines int, keep int")
     got = sorted((r.raw_path, r.line_no) for r in boilerplate.found(df).collect())
     assert [n for p, n in got if p == "a"] == [1, 2, 3, 12, 13, 14, 16, 17, 18]
     text = {r.raw_path: r.text for r in boilerplate.main_text(df).collect()}
-    assert set(text) == {"a", "b", "c", "f"} and text["a"].startswith("# Supply note") and text["b"] in (None, "")
+    assert set(text) == {"a", "b", "c", "f"} | {f"s{i}" for i in range(40)} and text["a"].startswith("# Supply note") and text["b"] in (None, "")
     assert boilerplate.found(df.limit(0)).count() == 0
+    # without the densities that the corpus teaches, the notice is taken for text
+    monkeypatch.setattr(boilerplate, "model", lambda counts: ({}, {}))
+    assert 2 not in {r.line_no for r in boilerplate.found(df).where("raw_path = 'a'").collect()}
+
+
+def test_surge_and_dive_decide(monkeypatch):
+    page = "A short line of six words.\n\nPick | Choose\nPick | Leave\nTake | Leave\n\n" + PROSE
+    assert boilerplate.article(page) == [False] * 6 + [True]
+    monkeypatch.setattr(boilerplate, "SURGE", 1)
+    assert boilerplate.article(page)[0]
 
 
 def test_lines_that_recur_on_a_host(spark):
