@@ -37,11 +37,15 @@ def windowed(events: DataFrame, late: str = "1 day", size: str = "1 hour") -> Da
 
 
 def track_orphans(events: DataFrame, state: OrphanState, split: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str) -> StreamingQuery:
-    """Batches of references and parents into an :class:`OrphanState`; ``split`` takes a batch to (references, parents)."""
+    """Batches of references and parents into an :class:`OrphanState`; ``split`` takes a batch to (references, parents).
 
-    def advance(df: DataFrame, _: int) -> None:
+    The state lies in its own folder and keeps the number of the last batch: a restarted stream goes on with a state of the same path,
+    and a batch that is run again changes nothing.  A new checkpoint numbers batches from 0, so it needs a new state.
+    """
+
+    def advance(df: DataFrame, batch: int) -> None:
         df.persist()
-        state.advance(*split(df))
+        state.advance(*split(df), batch=batch)
         df.unpersist()
 
     return events.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

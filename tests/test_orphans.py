@@ -62,3 +62,37 @@ def test_empty_tables(spark):
     assert state.current().count() == 0 and state.snapshot().count() == 0
     state = O.track(spark, [refs(spark, [(1, "x", "y", T0)])], [("pages", pages(spark, []))], [])
     assert {x.kind for x in state.current().collect()} == {"missing"}
+
+
+def test_restart_repeat_and_failure(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "state")
+    one = refs(spark, [(1, "a", "b", T0), (2, "c", None, T0)])
+    O.OrphanState(spark, path).advance(one, None, batch=0)
+    state = O.OrphanState(spark, path)  # a restart finds the state
+    state.advance(one, None, batch=0)  # the batch that comes again changes nothing
+    assert state.held["epoch"] == 1 and state.current().count() == 3
+    arrived = O.parents(pages(spark, [("A", T0 - timedelta(1), None)]), "pages")
+    broken = O.OrphanState(spark, path)
+    monkeypatch.setattr(broken, "_commit", lambda held: 1 / 0)
+    try:
+        broken.advance(None, arrived, batch=1)
+    except ZeroDivisionError:
+        pass
+    assert O.OrphanState(spark, path).current().count() == 3
+    for _ in range(2):
+        state = O.OrphanState(spark, path)
+        state.advance(None, arrived, batch=1)
+    assert {(r.field_name, r.row_no) for r in state.current().collect()} == {("to_id", 1), ("from_id", 2)}
+
+
+def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
+    state = O.OrphanState(spark, str(tmp_path / "state"), buckets=8)
+    state.advance(refs(spark, [(i, f"p{i}", "hot", T0) for i in range(60)]), None)
+    before = dict(state.held["refs"])
+    state.advance(None, O.parents(pages(spark, [("p7", T0 - timedelta(1), None)]), "pages"))
+    after = state.held["refs"]
+    assert sum(before[b] != after[b] for b in before) == 1
+    for i in range(O.PARTS + 1):  # many small batches are compacted
+        state.advance(refs(spark, [(100 + i, "hot", None, T0)]), None)
+    assert max(map(len, state.held["refs"].values())) <= O.PARTS
+    assert state.current().count() == 60 + 59 + O.PARTS + 1
