@@ -16,10 +16,12 @@ No group is ever gathered in one task: siblings are numbered in two levels (hash
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.materialize import cut, release
+from ..plans.materialize import broadcast_if_small, cut, release
 
 #: Siblings are numbered by bucket, then within the bucket, so a parent of a third of all rows is spread over as many tasks.
 SIBLING_BUCKETS = 256
@@ -58,7 +60,7 @@ def resolve_nodes(rows: DataFrame) -> DataFrame:
     )
     nodes = cut(latest.select(F.monotonically_increasing_id().alias("id"), "key", "row.url", "row.parent", "row.depth"), "nodes")
     parents = nodes.select(F.col("key").alias("parent"), F.col("id").alias("pid"))
-    out = cut(nodes.join(parents, "parent", "left").select("id", "url", "depth", "pid"), "resolved")
+    out = cut(nodes.join(broadcast_if_small(parents), "parent", "left").select("id", "url", "depth", "pid"), "resolved")
     release(nodes)
     return out
 
@@ -70,25 +72,32 @@ def separate(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     (all are in trees), or when a round ends no chain: a chain that ended later would have an ancestor that ends in this
     round, so the rest never end.
     """
-    state = cut(nodes.select("id", "pid", F.col("pid").alias("anc"), F.lit(1).cast("bigint").alias("size")), "jump")
-    active = state.where("anc is not null").count()
+    state = cut(nodes.where("pid is not null").select("id", F.col("pid").alias("anc"), F.lit(1).cast("bigint").alias("size")), "jump")
+    active, gains = state.count(), []
     while active:
-        gained = state.where("anc is not null").groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("gain"))
-        up = state.select(F.col("id").alias("anc"), F.col("anc").alias("next"))
-        new = cut(
-            state.join(up, "anc", "left")
-            .select("id", "pid", F.col("next").alias("anc"), "size")
-            .join(gained, "id", "left")
-            .select("id", "pid", "anc", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")),
-            "jump",
-        )
-        left = new.where("anc is not null").count()
+        # only nodes whose chain goes on take part; a jump to any other node ends there
+        gain = state.groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("gain"))
+        up = broadcast_if_small(state.select(F.col("id").alias("anc"), F.col("anc").alias("next")))
+        further = state.join(up, "anc").select("id", F.col("next").alias("anc"), "size")
+        grown = further.join(broadcast_if_small(gain), "id", "left").select("id", "anc", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"), F.lit(True).alias("goes_on"))
+        taken = cut(grown.unionByName(gain.select("id", F.lit(None).cast("bigint").alias("anc"), F.col("gain").alias("size"), F.lit(False).alias("goes_on"))), "jump")
         release(state)
-        state = new
+        gains.append(taken.where("not goes_on").select("id", F.col("size").alias("gain")))
+        state = taken.where("goes_on").drop("goes_on")
+        left = state.count()
         if left == active:
             break
         active = left
-    return state.where("anc is null").select("id", "pid", "size"), state.where("anc is not null").select("id", "pid", "anc")
+    trees = nodes.select("id", "pid")
+    if active:
+        trees = trees.join(broadcast_if_small(state.select("id")), "id", "left_anti")
+    size = F.lit(1).cast("bigint")
+    if gains:
+        total = reduce(DataFrame.unionByName, gains).groupBy("id").agg(F.sum("gain").alias("gain"))
+        trees = trees.join(broadcast_if_small(cut(total, "gains")), "id", "left")
+        size = F.coalesce("gain", F.lit(0)) + 1
+    trees = cut(trees.select("id", "pid", size.alias("size")), "trees")
+    return trees, state.join(broadcast_if_small(nodes.select("id", "pid")), "id").select("id", "pid", "anc")
 
 
 def cycles(endless: DataFrame, names: DataFrame) -> DataFrame:
@@ -103,7 +112,7 @@ def cycles(endless: DataFrame, names: DataFrame) -> DataFrame:
         return state.select("id", F.lit(None).cast("string").alias("cycle_url"))
     while True:
         up = state.select(F.col("id").alias("anc"), F.col("anc").alias("next"))
-        new = cut(state.join(up, "anc").select("id", F.col("next").alias("anc")), "endless")
+        new = cut(state.join(broadcast_if_small(up), "anc").select("id", F.col("next").alias("anc")), "endless")
         left = new.select("anc").distinct().count()
         release(state)
         state = new
@@ -111,10 +120,10 @@ def cycles(endless: DataFrame, names: DataFrame) -> DataFrame:
             break
         count = left
     on_cycle = state.select(F.col("anc").alias("id")).distinct()
-    ring = cut(on_cycle.join(endless, "id").join(names, "id").select("id", F.col("pid").alias("to"), F.col("url").alias("low")), "ring")
+    ring = cut(endless.join(broadcast_if_small(cut(on_cycle, "on_cycle")), "id").join(broadcast_if_small(names), "id").select("id", F.col("pid").alias("to"), F.col("url").alias("low")), "ring")
     while True:
         ahead = ring.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("low").alias("low2"))
-        new = cut(ring.join(ahead, "to").select("id", F.col("next").alias("to"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved")), "ring")
+        new = cut(ring.join(broadcast_if_small(ahead), "to").select("id", F.col("next").alias("to"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved")), "ring")
         moved = new.where("moved").count()
         release(ring)
         ring = new.drop("moved")
@@ -131,27 +140,29 @@ def chains(trees: DataFrame) -> DataFrame:
     """
     heavy = trees.where("pid is not null").groupBy(F.col("pid").alias("id")).agg(F.max(F.struct("size", (-F.col("id")).alias("n"))).alias("h"))
     linked = cut(trees.join(heavy.select("id", (-F.col("h.n")).alias("heavy"), F.col("h.size").alias("heavy_size")), "id", "left"), "heavy")
-    above = linked.where("heavy is not null").select(F.col("heavy").alias("id"), F.col("id").alias("above"))
-    state = cut(linked.join(above, "id", "left").select("id", F.coalesce("above", "id").alias("to"), F.col("above").isNotNull().cast("int").cast("bigint").alias("pos"), F.col("above").isNull().alias("done")), "chain")
-    while state.where("not done").limit(1).count():
-        ahead = state.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("pos").alias("more"), F.col("done").alias("ended"))
-        # heads are their own targets; they are not joined again
-        new = cut(
-            state.where("done").unionByName(
-                state.where("not done").join(ahead, "to").select("id", F.col("next").alias("to"), (F.col("pos") + F.col("more")).alias("pos"), "ended").withColumnRenamed("ended", "done")
-            ),
-            "chain",
-        )
+    # each node below the head of its chain jumps up; it has reached the head with a jump to a node that has, or is the head
+    state = cut(linked.where("heavy is not null").select(F.col("heavy").alias("id"), F.col("id").alias("to"), F.lit(1).cast("bigint").alias("pos")), "chain")
+    ended: list[DataFrame] = []
+    while state.limit(1).count():
+        known = reduce(DataFrame.unionByName, [x.withColumn("last", F.lit(True)) for x in ended], state.withColumn("last", F.lit(False)))
+        ahead = broadcast_if_small(known.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("pos").alias("more"), "last"))
+        step = state.join(ahead, "to", "left").select("id", F.coalesce("next", "to").alias("to"), (F.col("pos") + F.coalesce("more", F.lit(0))).alias("pos"), F.coalesce("last", F.lit(True)).alias("done"))
+        taken = cut(step, "chain")
         release(state)
-        state = new
-    return cut(linked.join(state.select("id", F.col("to").alias("head"), "pos"), "id"), "chains")
+        ended.append(taken.where("done").drop("done"))
+        state = taken.where("not done").drop("done")
+    if not ended:
+        return cut(linked.select("*", F.col("id").alias("head"), F.lit(0).cast("bigint").alias("pos")), "chains")
+    place = reduce(DataFrame.unionByName, ended)
+    return cut(linked.join(broadcast_if_small(place), "id", "left").select(*linked.columns, F.coalesce("to", "id").alias("head"), F.coalesce("pos", F.lit(0)).alias("pos")), "chains")
 
 
-def label(chained: DataFrame) -> DataFrame:
+def label(chained: DataFrame, numbered: bool = True) -> DataFrame:
     """``chains`` rows to one row per chain: ``head, segments, start``.
 
     ``segments`` are the ``(head, upto)`` of the chains above, from the root's; ``start`` is the pre-order number of the
-    head within its tree.  Below each node comes first the subtree of its heavy child, then those of the other children.
+    head within its tree.  Below each node comes first the subtree of its heavy child, then those of the other children.  Where
+    ``numbered`` is off, ``start`` is not worked out.
     """
     light = chained.where("id = head and pid is not null").select("id", "pid", "size", F.pmod(F.xxhash64("id"), F.lit(SIBLING_BUCKETS)).alias("bucket"))
     per_bucket = light.groupBy("pid", "bucket").agg(F.sum("size").alias("total"))
@@ -165,11 +176,10 @@ def label(chained: DataFrame) -> DataFrame:
     parent = chained.select(F.col("id").alias("pid"), F.col("head").alias("up"), F.col("pos").alias("up_pos"), "heavy_size")
     segment = F.array(F.struct(F.col("up").alias("head"), F.col("up_pos").alias("upto")))
     none = F.array().cast("array<struct<head:bigint,upto:bigint>>")
+    heads = chained.where("id = head").select("id", "pid")
     tops = (
-        chained.where("id = head")
-        .select("id", "pid")
-        .join(offset, "id", "left")
-        .join(parent, "pid", "left")
+        (heads.join(offset, "id", "left") if numbered else heads.withColumn("offset", F.lit(0).cast("bigint")))
+        .join(broadcast_if_small(parent), "pid", "left")
         .select(
             F.col("id").alias("head"),
             "up",
@@ -177,32 +187,28 @@ def label(chained: DataFrame) -> DataFrame:
             F.coalesce(F.col("up_pos") + 1 + F.col("heavy_size") + F.col("offset"), F.lit(0)).alias("start"),
         )
     )
-    state = cut(tops, "tops")
-    while state.where("up is not null").limit(1).count():
-        over = state.select(F.col("head").alias("up"), F.col("up").alias("next"), F.col("segments").alias("first"), F.col("start").alias("base"))
-        new = cut(
-            state.where("up is null").unionByName(
-                state.where("up is not null").join(over, "up").select("head", F.col("next").alias("up"), F.concat("first", "segments").alias("segments"), (F.col("start") + F.col("base")).alias("start"))
-            ),
-            "tops",
-        )
-        release(state)
-        state = new
-    return state.drop("up")
+    whole = cut(tops, "tops")
+    done, state = [whole.where("up is null")], whole.where("up is not null")
+    while state.limit(1).count():
+        over = reduce(DataFrame.unionByName, [*done, state]).select(F.col("head").alias("up"), F.col("up").alias("next"), F.col("segments").alias("first"), F.col("start").alias("base"))
+        taken = cut(state.join(broadcast_if_small(over), "up").select("head", F.col("next").alias("up"), F.concat("first", "segments").alias("segments"), (F.col("start") + F.col("base")).alias("start")), "tops")
+        done.append(taken.where("up is null"))
+        state = taken.where("up is not null")
+    return reduce(DataFrame.unionByName, done).drop("up")
 
 
-def hierarchy(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def hierarchy(rows: DataFrame, numbered: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``url, parent_url, depth, fetched_at`` rows to (nodes, members of trees, endless).
 
     nodes: ``id, url, depth, pid``.  members: ``id, head, pos, size, segments, root, real_depth, pre``; the descendants of
     a node are the members with the same ``root`` and ``pre`` in ``[pre, pre + size)``.  endless: ``id, cycle_url``.
-    An empty table gives three empty frames.
+    An empty table gives three empty frames.  Without ``numbered``, ``pre`` means nothing.
     """
     nodes = resolve_nodes(rows)
     trees, endless = separate(nodes)
     chained = chains(trees)
-    labels = label(chained)
-    members = chained.select("id", "head", "pos", "size").join(labels, "head")
+    labels = label(chained, numbered)
+    members = chained.select("id", "head", "pos", "size").join(broadcast_if_small(labels), "head")
     members = members.select(
         "id",
         "head",
@@ -240,9 +246,9 @@ def paths(nodes: DataFrame, members: DataFrame) -> DataFrame:
 
 def wrong_depths(rows: DataFrame) -> DataFrame:
     """``url, root_url, real_depth`` of the pages with a wrong depth, and of all pages whose chain never ends (-1)."""
-    nodes, members, endless = hierarchy(rows)
+    nodes, members, endless = hierarchy(rows, numbered=False)
     wrong = nodes.where("depth is not null").join(members.select("id", "root", "real_depth"), "id").where("depth <> real_depth")
     roots = nodes.select(F.col("id").alias("root"), F.col("url").alias("root_url"))
-    a = wrong.join(roots, "root").select("url", "root_url", "real_depth")
-    b = endless.join(nodes.select("id", "url"), "id").select("url", F.col("cycle_url").alias("root_url"), F.lit(-1).cast("bigint").alias("real_depth"))
+    a = wrong.join(broadcast_if_small(roots), "root").select("url", "root_url", "real_depth")
+    b = endless.join(broadcast_if_small(nodes.select("id", "url")), "id").select("url", F.col("cycle_url").alias("root_url"), F.lit(-1).cast("bigint").alias("real_depth"))
     return a.unionByName(b)

@@ -32,6 +32,11 @@ def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p2_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Root, depth, number of descendants and full path of every page of a tree."""
+    return p2_hierarchy(spark, d).drop("pre", "pre_end")
+
+
 def _orphans(spark: SparkSession, d: str) -> O.OrphanState:
     links, ps = _table(spark, d, "links"), _table(spark, d, "page_sources")
     refs = [O.references(links, "links", "link_no", {"from_id": "pages", "to_id": "pages"}), O.references(ps, "page_sources", "row_no", {"source_id": "sources"})]
@@ -49,7 +54,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).snapshot()
 
 
-QUERIES = {"p2_found": p2_found, "p2_hierarchy": p2_hierarchy, "p6_found": p6_found, "p6_counts": p6_counts}
+QUERIES = {"p2_found": p2_found, "p2_hierarchy": p2_hierarchy, "p2_paths": p2_paths, "p6_found": p6_found, "p6_counts": p6_counts}
 
 _NORMAL = r"""regexp_replace(concat(regexp_replace(lower(regexp_extract({0}, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?]*)', 1)), ':443$', ''),
   substr({0}, length(regexp_extract({0}, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?]*)', 1)) + 1)), '/$', '')"""
@@ -85,6 +90,11 @@ on_cycle AS (SELECT DISTINCT start AS key FROM walk WHERE steps > 0 AND now = st
 low AS (SELECT e.key, min(n.url) AS root_url FROM endless e JOIN walk w ON w.start = e.key JOIN on_cycle c ON c.key = w.now JOIN node n ON n.key = w.now GROUP BY e.key)
 SELECT n.url, r.url AS root_url, CAST(e.steps AS BIGINT) AS real_depth FROM node n JOIN ended e ON e.start = n.key JOIN node r ON r.key = e.root WHERE n.depth IS NOT NULL AND n.depth <> e.steps
 UNION ALL SELECT n.url, low.root_url, CAST(-1 AS BIGINT) FROM low JOIN node n USING (key)""",
+    "p2_paths": _NODES
+    + """tree AS (SELECT key AS root, key, 0 AS steps, url AS path FROM node WHERE pkey IS NULL UNION ALL SELECT t.root, n.key, t.steps + 1, t.path || ' > ' || n.url FROM tree t JOIN node n ON n.pkey = t.key),
+up AS (SELECT key AS start, key AS now FROM tree UNION ALL SELECT u.start, n.pkey FROM up u JOIN node n ON n.key = u.now WHERE n.pkey IS NOT NULL),
+below AS (SELECT now AS key, count(*) - 1 AS descendants FROM up GROUP BY now)
+SELECT n.url, r.url AS root_url, CAST(t.steps AS BIGINT) AS real_depth, b.descendants, t.path FROM tree t JOIN node n USING (key) JOIN node r ON r.key = t.root JOIN below b USING (key)""",
     "p6_found": _P6 + "SELECT * FROM found WHERE kind IS NOT NULL",
     "p6_counts": _P6 + "SELECT table_name, field_name, ref_month, kind, count(*) AS refs FROM found WHERE kind IS NOT NULL GROUP BY ALL",
 }
