@@ -79,6 +79,12 @@ def contradictions(claim: DataFrame, key: str = "id") -> DataFrame:
     )
 
 
+def contradicting(claim: DataFrame, key: str = "id") -> DataFrame:
+    """``key``: the pages that take part in a contradiction."""
+    group = ["kind", "period", "segment"]
+    return claim.join(contradictions(claim, key).select(*group), group, "left_semi").select(F.col(key).alias("key")).distinct()
+
+
 def rollup(claim: DataFrame) -> DataFrame:
     """Lowest and highest revenue (billions) and gross margin (per cent) and their numbers of claims; one row."""
     revenue, margin = F.when(F.col("kind") == "revenue", F.col("value")), F.when(F.col("kind") == "gross_margin", F.col("value"))

@@ -111,3 +111,21 @@ def catalog(pages: DataFrame) -> DataFrame:
 def union_sources(pages: DataFrame) -> DataFrame:
     """``key, sources``: the sorted union of the sources of all spellings of a page."""
     return pages.select(canonical_id(F.col("id")).alias("key"), F.explode(json_list("source_ids")).alias("s")).distinct().groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("sources"))
+
+
+def inbound(edge: DataFrame) -> DataFrame:
+    """``key, inbound, from_pages``: links to each id and the distinct pages they come from."""
+    return edge.groupBy(F.col("dst").alias("key")).agg(F.count("*").alias("inbound"), F.count_distinct("src").alias("from_pages"))
+
+
+def merged_bodies(pages: DataFrame) -> DataFrame:
+    """``key, bodies, body``: the different bodies of the spellings of an id, the longest first, joined by blank lines; of equally long
+    ones the smaller first.  Null and empty bodies take no part."""
+    own = pages.where(F.length("body") > 0).select(canonical_id(F.col("id")).alias("key"), "body").where("key <> ''").distinct()
+    parts = F.array_sort(F.collect_list(F.struct((-F.length("body")).alias("n"), "body")))
+    return own.groupBy("key").agg(F.count("*").alias("bodies"), F.array_join(F.transform(parts, lambda x: x["body"]), "\n\n").alias("body"))
+
+
+def flagged(stale: DataFrame, contradicting: DataFrame) -> DataFrame:
+    """``key``: pages that are stale or contradict others, once."""
+    return stale.select("key").unionByName(contradicting.select("key")).distinct()

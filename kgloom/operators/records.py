@@ -83,3 +83,27 @@ def exact_content_hash(rows: DataFrame) -> DataFrame:
     """``content_hash``: SHA-256 over the sorted rows, as small record tables have it (one file's rows; the rows are gathered)."""
     line = F.concat_ws("\x01", *[F.concat(F.lit(f"{c}="), F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in sorted(rows.columns)])
     return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\x02"), 256).alias("content_hash"))
+
+
+def bodies(rows: DataFrame, manifest: dict) -> DataFrame:
+    """``id, body``: the page of each complete row, its citation and its filled columns as bullets in order of name; of several rows of an
+    id the smallest text holds."""
+    own = _complete(rows, manifest)
+    value = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    bullets = F.filter(F.array(*[F.when(value(c) != "", F.concat(F.lit(f"- **{c}**: "), value(c))) for c in sorted(rows.columns)]), lambda x: x.isNotNull())
+    text = F.concat(F.lit(f"_{manifest['target_type']} record imported from `"), template(manifest["citation"], own.columns), F.lit("`._\n"), F.array_join(F.concat(F.array(F.lit("")), bullets), "\n"))
+    return own.select(template(manifest["identity"], own.columns).alias("id"), text.alias("body")).groupBy("id").agg(F.min("body").alias("body"))
+
+
+def overview(rows: DataFrame, manifest: dict) -> DataFrame:
+    """``rows, complete, columns``: one row; the columns are joined in order of name."""
+    done = _complete(rows, manifest).agg(F.count("*").alias("complete")).withColumn("one", F.lit(1))
+    every = rows.agg(F.count("*").alias("rows")).withColumn("one", F.lit(1))
+    return every.join(done, "one").select("rows", "complete", F.lit(",".join(sorted(rows.columns))).alias("columns"))
+
+
+def ingest(rows: DataFrame, manifest: dict, held: DataFrame) -> DataFrame:
+    """``id, body, content_hash``: the pages of the rows that are new, or whose text differs from the one ``held`` (``id,
+    content_hash``); a second run over the same rows gives none."""
+    own = bodies(rows, manifest).withColumn("content_hash", F.sha2("body", 256))
+    return own.join(held.select("id", "content_hash"), ["id", "content_hash"], "left_anti")

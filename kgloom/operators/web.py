@@ -66,3 +66,18 @@ def paragraph_chunks(rows: DataFrame, key: str, body: str) -> DataFrame:
 def index_entries(pages: DataFrame) -> DataFrame:
     """``id, title, summary, opening`` of each page."""
     return pages.dropDuplicates(["id"]).select("id", title("body", "id").alias("title"), summary("body").alias("summary"), first_sentences("body").alias("opening"))
+
+
+def with_sidecars(parsed: DataFrame, crawl: DataFrame) -> DataFrame:
+    """``raw_path, url, host, depth``: web documents with the crawl row of their url, if there is one; urls are compared in normal form,
+    of several rows of a url the latest holds.  Documents given twice come once."""
+    from .hierarchy import normal_url, resolve_nodes
+
+    own = parsed.where(F.col("metadata")["url"].isNotNull()).select("raw_path", F.col("metadata")["url"].alias("url")).dropDuplicates(["raw_path"]).withColumn("k", normal_url(F.trim("url")))
+    side = resolve_nodes(crawl).select(normal_url(F.trim("url")).alias("k"), "depth")
+    return own.join(side, "k", "left").select("raw_path", "url", F.regexp_extract("k", r"^[^:]+://([^/?#]+)", 1).alias("host"), "depth")
+
+
+def raw_relative(path: Column) -> Column:
+    """A path from its ``raw/`` folder on; as it is if there is none."""
+    return F.coalesce(F.nullif(F.regexp_extract(path, r"(?:^|/)(raw/.*)$", 1), F.lit("")), path)

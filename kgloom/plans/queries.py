@@ -10,7 +10,7 @@ from ..operators import claims as C
 from ..operators import decisions as D
 from ..operators import graph as G
 from ..operators import memo as M
-from ..operators import ontology, quality, records, retrieval, web
+from ..operators import kb, ontology, quality, records, retrieval, web
 from ..operators.orphans import canonical_id
 from ..sources import sinks
 from ..streaming import logs
@@ -50,15 +50,15 @@ def _seed(s: SparkSession, node: DataFrame) -> DataFrame:
 
 
 def bm25_topk(s, d):
-    return retrieval.bm25(t(s, d, "documents"), "doc_id", "text", QUESTION)
+    return kb.bm25(t(s, d, "documents"), "doc_id", "text", QUESTION)
 
 
 def bm25_repeated_terms(s, d):
-    return retrieval.bm25(t(s, d, "documents"), "doc_id", "text", REPEATED, top_k=20)
+    return kb.bm25(t(s, d, "documents"), "doc_id", "text", REPEATED, top_k=20)
 
 
 def bm25_pages(s, d):
-    return retrieval.bm25(t(s, d, "pages"), "id", "body", QUESTION, top_k=None)
+    return kb.bm25(t(s, d, "pages"), "id", "body", QUESTION, top_k=None)
 
 
 def _fts(s, d):
@@ -83,7 +83,7 @@ def seed_resolution(s, d):
 
 def answer_contexts(s, d):
     pages = t(s, d, "pages")
-    return retrieval.contexts(pages, G.edges(t(s, d, "links")), retrieval.bm25(pages, "id", "body", QUESTION))
+    return retrieval.contexts(pages, G.edges(t(s, d, "links")), kb.bm25(pages, "id", "body", QUESTION))
 
 
 def graph_nodes(s, d):
