@@ -26,8 +26,6 @@ TREES = 64
 HASHES = 256  # minhashes of a record; a tree's label is a random sequence of them
 DEPTHS = (8, 7, 6, 5, 4, 3, 2, 1)  # prefix lengths, the longest that reaches the target is taken
 TARGET = 0.999  # recall of pairs at the threshold
-#: If set, a class of more members is listed as links of its representative only; all pairs of all classes otherwise.
-LISTED_CLASS: int | None = None
 CLASS_PART = 1000  # members of a class that meet a record in one task
 WORD_CACHE = 500_000
 
@@ -160,28 +158,23 @@ def pairs(rows: DataFrame, key: str, text: str, size: int = 5, threshold: float
 
     Null and empty texts and texts of fewer than ``least_words`` words match nothing; a text shorter than a shingle is one
     shingle.  Keys given twice count once.  Every pair is listed, also within classes of equal shingles, whose texts may differ in
-    case, punctuation or repeats; large classes are met in parts of ``CLASS_PART`` members.  Only where ``LISTED_CLASS`` is set are
-    larger classes listed as the links of their smallest key.
+    case, punctuation or repeats; large classes are met in parts of ``CLASS_PART`` members.
     """
-    members, reps = classes(rows, key, text, size, threshold and least_words)
+    members, reps = classes(rows, key, text, size, least_words)
     found = similar(reps, threshold)
     wide = members.groupBy("rid").agg(F.count("*").alias("n"), F.min(key).alias("lead"))
     sized = members.join(wide, "rid").withColumn("parts", F.ceil(F.col("n") / CLASS_PART).cast("int"))
     sized = cut(sized.withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int")), "sized")
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    shown = sized
-    if LISTED_CLASS is not None:
-        # of a large class only the lead takes part in links to other classes and to its own members
-        shown = sized.where((F.col("n") <= LISTED_CLASS) | (F.col(key) == F.col("lead")))
     parts = sized.select(F.col("rid").alias("b"), "parts").distinct()
     across = (
         found.select("a", "b").join(parts, "b").select("a", "b", every)
-        .join(shown.select(F.col("rid").alias("b"), "part", F.col(key).alias("y")), ["b", "part"])
-        .join(shown.select(F.col("rid").alias("a"), F.col(key).alias("x")), "a")
+        .join(sized.select(F.col("rid").alias("b"), "part", F.col(key).alias("y")), ["b", "part"])
+        .join(sized.select(F.col("rid").alias("a"), F.col(key).alias("x")), "a")
         .select("x", "y")
     )
     own = sized.where("n > 1").select("rid", "part", F.col(key).alias("y"))
-    within = shown.where("n > 1").select("rid", F.col(key).alias("x"), every).join(own, ["rid", "part"]).where("x < y").select("x", "y")
+    within = sized.where("n > 1").select("rid", F.col(key).alias("x"), every).join(own, ["rid", "part"]).where("x < y").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 

@@ -86,6 +86,14 @@ word AS (SELECT id, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') AS w FROM p
 gram AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM word WHERE len(w) >= 20),
 pair AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.g, b.g)) AS c, len(a.g) + len(b.g) AS n FROM gram a JOIN gram b ON a.id < b.id AND len(a.g) >= 0.7 * len(b.g) AND len(b.g) >= 0.7 * len(a.g))
 SELECT id_a, id_b FROM pair WHERE c >= 0.7 * (n - c)""",
+    "p3_groups": r"""
+WITH RECURSIVE page AS (SELECT id, any_value(body) AS body FROM pages GROUP BY id),
+word AS (SELECT id, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') AS w FROM page WHERE body IS NOT NULL),
+gram AS (SELECT id, list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM word WHERE len(w) > 0),
+pair AS (SELECT a.id AS x, b.id AS y, len(list_intersect(a.g, b.g)) AS c, len(a.g) + len(b.g) AS n FROM gram a JOIN gram b ON a.id <> b.id AND len(a.g) >= 0.8 * len(b.g) AND len(b.g) >= 0.8 * len(a.g)),
+edge AS (SELECT x, y FROM pair WHERE c >= 0.8 * (n - c)),
+reach AS (SELECT id AS x, id AS y FROM gram UNION SELECT r.x, e.y FROM reach r JOIN edge e ON e.x = r.y)
+SELECT x AS id, min(y) AS group_id FROM reach GROUP BY x""",
     "p4_found": """
 WITH docs AS (SELECT raw_path, any_value(markdown) AS markdown, any_value(chunks) AS chunks FROM parsed_documents GROUP BY raw_path),
 item AS (SELECT raw_path, CAST(i AS BIGINT) AS chunk_no, chunks[i].markdown AS text FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM docs WHERE len(chunks) > 0)
