@@ -11,7 +11,7 @@ from ..operators import graph as G
 from ..operators import ontology, quality, records, web
 from ..operators.orphans import canonical_id
 from ..queries_core import _NODES, _NORMAL, CRAWL
-from .queries import _C, _GRAPH, _PAGE, CUTOFF, MANIFEST, ORACLE as _BASE, decisions_from_audit, freshness_warnings, t
+from .queries import _C, _GRAPH, _PAGE, _claims_sql, CUTOFF, MANIFEST, ORACLE as _BASE, decisions_from_audit, freshness_warnings, t
 
 EARLY = "2024-01-10"
 
@@ -157,6 +157,13 @@ UNION SELECT id, entity, 'justified_by' FROM dec WHERE entity IS NOT NULL UNION
     "decision_classes": """WITH x AS (SELECT p || event_type AS action, p, value > 50 AS approved FROM events, (VALUES ('flag_'), ('create_'), ('trigger_'), ('publish_'), ('run_'), ('drop_')) v(p) WHERE event_type IS NOT NULL)
 SELECT action, CASE p WHEN 'flag_' THEN 'review_flag' WHEN 'publish_' THEN 'publication' WHEN 'run_' THEN 'synthesis' WHEN 'drop_' THEN 'other' ELSE 'operational_write' || CASE WHEN coalesce(approved, false) THEN '_approved' ELSE '_unapproved' END END AS decision_class, count(*) AS decisions FROM x GROUP BY ALL""",
     "backfill_counts": f"SELECT count(*) AS considered, count(*) FILTER (WHERE ts >= '{EARLY}') AS written, count(*) FILTER (WHERE ts < '{EARLY}') AS skipped FROM ({_AUDIT})",
+    "flagged_pages": f"""WITH {_claims_sql("type IN ('Concept', 'Customer')")},
+grp AS (SELECT kind, period, segment FROM claim WHERE kind NOT IN ('percent', 'usd_billion', 'usd_million') OR (segment <> 'company_wide' AND period <> 'unspecified') GROUP BY ALL HAVING count(DISTINCT (value, unit)) > 1)
+SELECT key FROM ({_BASE["freshness_warnings"]}) UNION SELECT {_C.format("id")} FROM claim SEMI JOIN grp USING (kind, period, segment)""",
+    "replay_buckets": f"""WITH {_PAGE}, p AS (SELECT *, coalesce(CASE WHEN regexp_matches(updated, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN TRY_CAST(updated AS TIMESTAMPTZ) END, recorded_at) AS seen FROM page),
+l AS (SELECT *, coalesce(seen <= TIMESTAMPTZ '{CUTOFF}+00', true) AND (deleted_at IS NULL OR deleted_at > TIMESTAMPTZ '{CUTOFF}+00') AS live FROM p)
+SELECT b.bucket, count(*) FILTER (WHERE live) AS live, count(id) AS total, max(strftime(recorded_at, '%Y-%m-%d %H:%M:%S')) FILTER (WHERE live) AS newest
+FROM (VALUES {", ".join(f"('{x}')" for x in ontology.OBJECT_TYPES)}) b(bucket) LEFT JOIN l ON l.type = b.bucket GROUP BY b.bucket""",
     "record_bodies": _record_sql("c_acctbal"),
     "record_overview": "SELECT (SELECT count(*) FROM customer) AS rows, count(*) AS complete, 'c_acctbal,c_custkey,c_mktsegment,c_name,c_nationkey' AS columns FROM customer WHERE trim(coalesce(c_name, '')) <> '' AND trim(coalesce(c_mktsegment, '')) <> ''",
     "record_ingest": f"SELECT * FROM ({_record_sql('CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END')}) EXCEPT SELECT * FROM ({_record_sql('c_acctbal')})",
