@@ -31,6 +31,15 @@ def text(html: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: x != ""), "\n")
 
 
+def _resolved(url: Column) -> Column:
+    """A url without ``.`` and ``..`` steps in its path; steps above the root are dropped."""
+    origin = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
+    path, query = F.regexp_extract(url, r"^[^:]+://[^/?#]*([^?#]*)", 1), F.regexp_extract(url, r"(\?.*)$", 1)
+    steps = F.filter(F.split(F.regexp_replace(path, "^/", ""), "/"), lambda x: x != ".")
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))))
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.concat(origin, F.lit("/"), F.array_join(kept, "/"), query)).otherwise(url)
+
+
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``url, n, link``: links in the content, absolute, without fragments, http(s) only, each once in order of appearance."""
     base = F.col(url)
@@ -45,7 +54,7 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
             .when(h.startswith("//"), F.concat(F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*:)", 1), h))
             .when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), F.lit(None).cast("string"))
             .when(h.startswith("/"), F.concat(origin, h))
-            .otherwise(F.concat(folder, F.lit("/"), h))
+            .otherwise(_resolved(F.concat(folder, F.lit("/"), h)))
         )
 
     found = F.regexp_extract_all(without_chrome(F.col(html)), F.lit(r"(?i)<a\b[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))

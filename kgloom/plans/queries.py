@@ -218,10 +218,16 @@ def url_slugs(s, d):
 
 
 def _html(s, d):
-    """Pages as HTML: a column built from the page's own fields, with chrome around it."""
+    """Pages as HTML: title and body, a paragraph for each line and a link for each wikilink, with chrome around and between them."""
+    body = F.coalesce("p.body", F.lit(""))
+    for x, y in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        body = F.replace(body, F.lit(x), F.lit(y))
+    body = F.regexp_replace(body, r"\[\[([a-zA-Z0-9_-]+)\]\]", "<a class='ref' href='../wiki/$1#top'>$1</a>")
+    lines = F.transform(F.split(body, "\n"), lambda x: F.concat(F.lit("<div><p class=\"line\">"), x, F.lit("</p></div>")))
+    head = "<html><head><style>b{}</style></head><body><nav><a href='/home'>Home</a></nav><h1>"
     return t(s, d, "pages").groupBy("id").agg(F.min(F.struct("title", "body")).alias("p")).select(
         F.concat(F.lit("https://kb.example/wiki/"), "id").alias("url"),
-        F.concat(F.lit("<html><head><style>b{}</style></head><body><nav><a href='/home'>Home</a></nav><h1>"), "p.title", F.lit("</h1><p>See <a href='/wiki/"), "id", F.lit("'>self</a>, <a href=\"up#top\">up</a> &amp; <a href='mailto:x@y.example'>mail</a>.</p><footer>end</footer></body></html>")).alias("html"),
+        F.concat(F.lit(head), "p.title", F.lit("</h1><p>See <a href='/wiki/"), "id", F.lit("'>self</a>, <a href=\"up#top\">up</a> &amp; <a href='mailto:x@y.example'>mail</a>.</p><div class='share'>Share</div>"), F.array_join(lines, ""), F.lit("<footer>end</footer></body></html>")).alias("html"),
     )
 
 
@@ -438,7 +444,7 @@ _DEC = """dec AS (SELECT 'decision_flag_' || event_type || '_u' || user_id || '_
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts, actor, action, entity, value) = 1)"""
 _NORM = r"""regexp_replace(concat(regexp_replace(lower(regexp_extract({0}, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?]*)', 1)), ':443$', ''),
   substr({0}, length(regexp_extract({0}, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?]*)', 1)) + 1)), '/$', '')"""
-_HTMLS = "htm AS (SELECT 'https://kb.example/wiki/' || id AS url, id, title FROM (SELECT id, arg_min(title, title) AS title FROM pages GROUP BY id))"
+_HTMLS = "htm AS (SELECT DISTINCT 'https://kb.example/wiki/' || id AS url, id, title, body FROM pages)"
 
 def _even(x: str, digits: int) -> str:
     """``x``, a decimal of at least 0, as text with so many digits, halves to even; with -2 digits to hundreds."""
@@ -548,8 +554,11 @@ UNION SELECT DISTINCT 'nation_' || c_nationkey, 'customer_' || {_C.format("c_nam
     "url_slugs": r"""
 WITH u AS (SELECT DISTINCT url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS query FROM crawl_pages)
 SELECT url, substr(trim(regexp_replace(lower((CASE WHEN trim(path, '/') = '' THEN '/index' ELSE path END) || CASE WHEN query <> '' THEN '_' || substr(sha1(query), 1, 8) ELSE '' END), '[^a-z0-9]+', '_', 'g'), '_'), 1, 120) AS slug FROM u""",
-    "html_text": f"WITH {_HTMLS} SELECT url, title || chr(10) || 'See self, up & mail.' AS text FROM htm",
-    "html_links": f"WITH {_HTMLS} SELECT url, CAST(0 AS INTEGER) AS n, 'https://kb.example/wiki/' || id AS link FROM htm WHERE title IS NOT NULL UNION ALL SELECT url, 1, 'https://kb.example/wiki/up' FROM htm WHERE title IS NOT NULL",
+    "html_text": f"""WITH {_HTMLS}, l AS (SELECT url, title, list_filter(list_transform(string_split(regexp_replace(coalesce(body, ''), '\\[\\[([a-zA-Z0-9_-]+)\\]\\]', '\\1', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'), ' ')), lambda x: x <> '') AS lines FROM htm)
+SELECT url, CASE WHEN title IS NOT NULL THEN array_to_string(list_filter([trim(regexp_replace(title, '[ \\t]+', ' ', 'g'), ' ')], lambda x: x <> '') || ['See self, up & mail.'] || lines, chr(10)) END AS text FROM l""",
+    "html_links": f"""WITH {_HTMLS}, a AS (SELECT url, ['https://kb.example/wiki/' || id, 'https://kb.example/wiki/up'] || list_transform(regexp_extract_all(coalesce(body, ''), '\\[\\[([a-zA-Z0-9_-]+)\\]\\]', 1), lambda x: 'https://kb.example/wiki/' || x) AS ls FROM htm WHERE title IS NOT NULL),
+b AS (SELECT url, unnest(ls) AS link, generate_subscripts(ls, 1) AS i FROM a), c AS (SELECT url, link, min(i) AS i FROM b GROUP BY ALL)
+SELECT url, CAST(row_number() OVER (PARTITION BY url ORDER BY i) - 1 AS INTEGER) AS n, link FROM c""",
     "crawl_frontier": f"""
 WITH RECURSIVE row AS (SELECT {_NORM.format("regexp_replace(url, '#.*$', '')")} AS key, lower(host) AS host, {_NORM.format("regexp_replace(parent_url, '#.*$', '')")} AS parent, parent_url FROM crawl_pages WHERE url <> ''),
 own AS (SELECT key, min(host) AS host FROM row GROUP BY key), st AS (SELECT DISTINCT key FROM row WHERE parent_url IS NULL),
