@@ -162,7 +162,7 @@ def pairs(rows: DataFrame, key: str, text: str, size: int = 5, threshold: float
     """
     members, reps = classes(rows, key, text, size, least_words)
     found = similar(reps, threshold)
-    wide = members.groupBy("rid").agg(F.count("*").alias("n"), F.min(key).alias("lead"))
+    wide = members.groupBy("rid").agg(F.count("*").alias("n"))
     sized = members.join(wide, "rid").withColumn("parts", F.ceil(F.col("n") / CLASS_PART).cast("int"))
     sized = cut(sized.withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int")), "sized")
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
