@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import json_list, wikilinks
-from ..plans.materialize import broadcast_if_small, cut
+from ..plans.materialize import broadcast_if_small, cut, release
 
 from .orphans import canonical_id
 
@@ -69,7 +69,8 @@ def traverse(edge: DataFrame, node: DataFrame, seeds: DataFrame, hops: int, both
     step = edge.select("src", "dst")
     if both:
         step = step.unionByName(edge.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    keys = node.select("key")
+    # the edges and the nodes' keys are worked out once, not on every level
+    step, keys = cut(step, "steps"), cut(node.select("key"), "keys")
     seen = cut(seeds.select("key").distinct().join(keys, "key", "left_semi").withColumn("hop", F.lit(0)), "seen")
     front = seen
     for hop in range(1, hops + 1):
@@ -78,6 +79,8 @@ def traverse(edge: DataFrame, node: DataFrame, seeds: DataFrame, hops: int, both
         seen = seen.unionByName(front)
         if not front.limit(1).count():
             break
+    release(step)
+    release(keys)
     return seen
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _own: dict[str, str] = {}  # folders of local sessions without the setting
+_written: dict[str, set[str]] = {}  # tables of each session that are not released yet
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +35,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kgloom_path = path  # for release()
     return out
@@ -42,9 +44,21 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 def release(df: DataFrame | None) -> None:
     """Delete the table behind a frame returned by :func:`cut`, once nothing reads it any more."""
     path = getattr(df, "_kgloom_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all tables that this session has cut and not released; the number of them.  For a long-lived session, between queries whose
+    results have been written: frames that read such tables can no longer be used."""
+    paths = _written.pop(spark.sparkContext.applicationId, set())
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _written.get(spark.sparkContext.applicationId, set()).discard(path)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 

@@ -297,8 +297,7 @@ def review_queue_stream(s, d):
     import uuid
 
     base = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
-    t(s, d, "events").write.parquet(f"{base}/in")
-    stream = s.readStream.schema(s.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
+    stream = s.readStream.schema(t(s, d, "events").schema).parquet(f"{d}/events.parque[t]")  # a pattern, so that one file may be streamed
     q = logs.review_queue(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     return s.read.schema("concept_id string, reason string").parquet(f"{base}/out")

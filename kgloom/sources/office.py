@@ -234,10 +234,14 @@ def parse(files: DataFrame) -> DataFrame:
 
 
 def parse_new(spark: SparkSession, root: str, known: DataFrame | None = None) -> DataFrame:
-    """Documents under ``root`` that are not in ``known`` (``raw_path``) yet; known files are not opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """Documents under ``root`` that are not in ``known`` (``raw_path``) yet; known files are listed, but not opened."""
+    source = lambda *paths: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    files = source(root)
     if known is not None:
-        files = files.join(known.select(F.col("raw_path").alias("path")), "path", "left_anti")
+        # the scan that finds new paths reads no content; the driver holds the listing of all files anyway
+        new = files.select("path").join(known.select(F.col("raw_path").alias("path")), "path", "left_anti")
+        paths = [r.path for r in new.collect()]
+        files = source(*paths) if paths else files.limit(0)
     return parse(files)
 
 
