@@ -85,6 +85,7 @@ class Bpe:
         self.byte_id = np.zeros(256, np.int32)
         for ch, b in _byte_of_char().items():
             self.byte_id[b] = vocab[ch]
+        self.reach = max(map(len, vocab)) + 2  # no symbol has more bytes than its name has characters
         try:
             from public_tokenizers import PATTERN
         except ImportError:
@@ -139,6 +140,8 @@ class Bpe:
             if not len(live):
                 break
             hit = rank == least[:, None]
+            if rank.shape[1] > 4 * self.reach:
+                hit = self.apart(rank)
             # of overlapping hits (a a a) every other one from the left counts
             position = np.arange(hit.shape[1])
             starts = hit & ~np.pad(hit[:, :-1], ((0, 0), (1, 0)))
@@ -153,6 +156,23 @@ class Bpe:
             sym = sym[:, : int((sym >= 0).sum(axis=1).max())]
         return done  # type: ignore[return-value]
 
+    def apart(self, rank: np.ndarray) -> np.ndarray:
+        """The pairs of long rows that merge in this round wherever the row's least pair is: those of least rank within ``reach`` pairs on
+        either side.  A merge further away could only matter to them through a symbol that grows until it meets them, and no symbol is
+        that long.  Of a run of equal pairs only a part that begins with the run is taken, as the run merges from the left."""
+        span, size = 1, 2 * self.reach + 1
+        low = np.pad(rank, ((0, 0), (self.reach, self.reach)), constant_values=NONE)
+        ahead = lambda x, n: np.pad(x[:, n:], ((0, 0), (0, n)), constant_values=NONE)
+        while 2 * span <= size:
+            low, span = np.minimum(low, ahead(low, span)), 2 * span
+        low = np.minimum(low, ahead(low, size - span))[:, : rank.shape[1]]
+        hit = (rank == low) & (rank < NONE)
+        first = np.ones(rank.shape, bool)
+        first[:, 1:] = rank[:, 1:] != rank[:, :-1]
+        start = np.maximum.accumulate(np.where(first, np.arange(rank.shape[1]), 0), axis=1)
+        missed = np.cumsum(~hit, axis=1)
+        return hit & (missed == np.take_along_axis(missed, start, axis=1)) & np.take_along_axis(hit, start, axis=1)
+
     def encode(self, texts: list[str | None]) -> pa.Array:
         """Ids of each text as a list array; an empty list for null and empty texts."""
         if len(self.cache) > CACHE_WORDS:

@@ -89,6 +89,15 @@ def test_ids_equal_the_public_tokenizer(public):
     assert [public.decode(g) for g in got[1:4]] == texts[1:4]
 
 
+def test_long_words_equal_the_public_tokenizer(public):
+    r = random.Random(9)
+    letters = "etaoinshrdlucmfw"
+    texts = ["".join(r.choice(x) for _ in range(n)) for x in (letters, "ab", "aaaaab", "thein", "äöüß", "0123456789", "=-") for n in (700, 3001, 9000)]
+    texts += ["a" * 5000, "ab" * 4000, "abc" * 3000 + "x", "the" * 3000, "-" * 7001]
+    got = tokens._bpe(tokens.default_path()).encode(texts).to_pylist()
+    assert got == [e.ids for e in public.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_ids_frame(spark, public):
     df = docs(spark, [None, *ODD, "twice", "twice"])
     got = {r.doc_id: r.ids for r in tokens.encode(df).collect()}
