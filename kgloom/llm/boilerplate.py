@@ -136,9 +136,11 @@ def kinds(lines: list[str], recurring: set[int], title: str | None, model: dict[
     full = [i for i, k in enumerate(out) if k != "blank"]
     for a, b in zip(full, [*full[1:], None]):
         below = None if b is None else out[b]
+        if below == "text" and b == a + 1 and out[b + 1 : b + 2] in (["teaser"], ["short"]):
+            below = out[b + 1]  # a blurb stands above the first teaser
         label = out[a] == "label" or (out[a] == "mark" and bool(_HEADING.match(lines[a])) and whole(lines[a]) in labels)
         head = label or (out[a] in ("short", "menu", "noise", "mark") and len(_WORD.findall(lines[a])) <= LABEL_WORDS and not lines[a].lstrip().startswith(("- ", "|")))
-        if head and (below == "teaser" or (label and below in ("short", "title"))):
+        if (head and below == "teaser" and out[b] == "teaser") or (label and below in ("teaser", "short", "title")):
             out[a] = "related"
         elif out[a] == "label":
             out[a] = "menu" if labels[whole(lines[a])] else "noise"
