@@ -422,8 +422,8 @@ def test_two_places_in_one_line_are_told_apart(spark):
 
 
 def test_heads_where_pages_cannot_be_told_apart():
-    text = ["Yearly Report", "", "the first part of the text goes on and", "on", "", "Acme Grid | Any Words", "and ends here. A | table | row", "", "| a | b |", "| c | d |", "", "Acme Grid", "Part 3 · Copy 2", "more text here."]
-    assert [i for i, k in enumerate(scans.furniture(text, None)) if k == "furniture"] == [5, 11, 12]
+    text = ["Yearly Report", "", "the first part of the text goes on and", "on", "", "Acme Grid | Any Words", "and ends here.", "A | table | row", "", "| a | b |", "| c | d |", "", "Acme Grid", "Part 3 · Copy 2", "more text here."]
+    assert [i for i, k in enumerate(scans.furniture(text, None)) if k == "furniture"] == [5, 12, 13]
 
 
 def test_glyph_edits():
